@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.llm import byte_bpe, exact_dedup, packing, simhash, substring_dedup
+from catalith.llm import byte_bpe, exact_dedup, language_id, packing, simhash, substring_dedup
+from catalith.llm.common import remainder
 from catalith.session import prepare, table
 
 #: Files of public tokenizers; a path is a parameter of the operators.
@@ -24,6 +25,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(prepare(spark), sf_dir, "documents")
 
 
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = language_id.identify(documents(spark, sf_dir), language_id.may_teach())
+    return out.select("doc_id", F.coalesce(remainder("doc_id", 4) == 2, F.lit(False)).alias("held_out"), "lang_pred", "score", "accepted")
+
+
 def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = substring_dedup.deduplicate(documents(spark, sf_dir))
     return out.select("doc_id", "n_words", "n_removed", F.sha2("kept", 256).alias("kept_sha256"))
@@ -48,7 +54,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op2_substring_dedup, op3_byte_bpe, op5_exact_dedup, op9_simhash, op10_packing)
+    found = (op1_language_id, op2_substring_dedup, op3_byte_bpe, op5_exact_dedup, op9_simhash, op10_packing)
     return {f.__name__: f for f in found}
 
 

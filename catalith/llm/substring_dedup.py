@@ -26,12 +26,14 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalith.llm.common import Memo, batches_of_documents, bits_for, buckets, corpus_bytes, mix, new_folder, remove, tidy
 
@@ -287,10 +289,10 @@ def verify(docs: DataFrame, shared: DataFrame, bits: int) -> DataFrame:
     return docs.sparkSession.read.schema("doc_id long, keys binary").parquet(path)
 
 
-STRIPPED = "doc_id long, n_words long, n_removed long, kept binary"
+STRIPPED = ("doc_id", "n_words", "n_removed", "kept")
 
 
-def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _strip(batches: Iterator[pa.RecordBatch], carry: list[str]) -> Iterator[pa.RecordBatch]:
     for batch in batches_of_documents(batches):
         parts = [t.split() if t else [] for t in batch.column("text").to_pylist()]
         gone: dict[int, np.ndarray] = {}
@@ -314,18 +316,21 @@ def _strip(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             "n_words": pa.array([len(p) for p in parts], pa.int64()),
             "n_removed": pa.array([int(gone[i].sum()) if i in gone else 0 for i in range(len(parts))], pa.int64()),
             "kept": pa.array(kept, pa.binary()),
+            **{c: batch.column("_" + c) for c in carry},
         })
 
 
-def strip(docs: DataFrame, shared: DataFrame, windows: DataFrame) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) of every row."""
+def strip(docs: DataFrame, shared: DataFrame, windows: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept) of every row, and the carried columns."""
     notes = _gather(shared, "keys").join(_gather(windows, "windows"), "doc_id")
-    rows = _keyed(docs).select("doc_id", F.col("text").cast("binary").alias("text")).join(notes, "doc_id", "left")
-    return rows.select("doc_id", "text", "keys", "windows").mapInArrow(_strip, STRIPPED)
+    more = [c for c in carry if c not in STRIPPED]
+    rows = _keyed(docs).select("doc_id", F.col("text").cast("binary").alias("text"), *[F.col(c).alias("_" + c) for c in more]).join(notes, "doc_id", "left")
+    schema = T.StructType([*T._parse_datatype_string("doc_id long, n_words long, n_removed long, kept binary"), *[docs.schema[c] for c in more]])
+    return rows.select("doc_id", "text", "keys", "windows", *["_" + c for c in more]).mapInArrow(partial(_strip, carry=more), schema)
 
 
-def deduplicate(docs: DataFrame, steps: int = 3, fan_in: int = 2) -> DataFrame:
-    """(doc_id, n_words, n_removed, kept) of every row, by way of an index that takes the documents in `steps` batches of rising id."""
+def deduplicate(docs: DataFrame, steps: int = 3, fan_in: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_words, n_removed, kept) and the carried columns of every row, by way of an index that takes the documents in `steps` batches of rising id."""
     spark = docs.sparkSession
     bits = bits_for(corpus_bytes(docs), RANGE_BYTES)
     index, shared = SubstringIndex(spark, bits, fan_in), []
@@ -344,4 +349,4 @@ def deduplicate(docs: DataFrame, steps: int = 3, fan_in: int = 2) -> DataFrame:
     for more in shared[1:]:
         found = found.unionByName(more)
     windows = verify(docs, found, bits)
-    return strip(docs, found, windows)
+    return strip(docs, found, windows, carry)

@@ -21,7 +21,7 @@ def _keep(docs: DataFrame, decisions: DataFrame) -> DataFrame:
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is clear."""
-    out = language_id.identify(docs, prepare(spark), carry=COLUMNS)
+    out = language_id.identify(docs, language_id.may_teach(), carry=COLUMNS)
     return out.filter("accepted").select(*COLUMNS)
 
 
