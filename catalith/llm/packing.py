@@ -17,9 +17,11 @@ other; an empty table gives an empty table; other columns are not looked at.
 from __future__ import annotations
 
 import os
+import unicodedata
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
+from struct import pack as to_bytes
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +35,9 @@ CAPACITY, GRAIN, STEP, END = 2048, 64, 8, 1
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 #: Words that a worker's memo holds, and the longest it takes.
-MEMO_WORDS, MEMO_LONGEST = 400_000, 48
+MEMO_WORDS, MEMO_LONGEST = 700_000, 48
+#: Marks that are units of their own after letters.
+MARKS = ".,;:!?"
 
 _encoders: dict[str, WordEncoder] = {}
 
@@ -48,21 +52,53 @@ class WordEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.memo: dict[str, bytes] = {"": b""}
+        # the printable character that byte-level pre-tokenizers put for each byte: itself, or the next free one from 256 on
+        shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        self.printable = {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(b for b in range(256) if b not in shown)}
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         split = [self._words(t) for t in texts]
         memo = self.memo
-        if len(memo) > MEMO_WORDS:
-            memo = self.memo = {"": b""}
-        missing = list({w for words in split for w in words if w not in memo})
-        fresh = dict(zip(missing, self._ids(missing), strict=True))
-        for word, ids in fresh.items():
-            if len(word) <= MEMO_LONGEST:
-                memo[word] = ids
-        get = memo.__getitem__ if all(len(w) <= MEMO_LONGEST for w in missing) else lambda w: fresh[w] if w in fresh else memo[w]
+        missing = set().union(*split).difference(memo)
+        fresh = self._missing(missing) if missing else {}
+        room = MEMO_WORDS - len(memo)
+        kept = {w: ids for w, ids in fresh.items() if len(w) <= MEMO_LONGEST} if room > 0 else {}
+        if len(kept) == len(fresh):
+            memo.update(kept)
+            get = memo.__getitem__
+        else:
+            memo.update(kept)
+            both = fresh.copy()
+            get = lambda w: memo[w] if w in memo else both[w]
         return [b"".join(map(get, words)) for words in split]
 
+    def _missing(self, words: set[str]) -> dict[str, bytes]:
+        """Ids of words that the memo lacks. A word of letters is one unit and goes straight
+        to the tokenizer's model; one mark after letters is a unit of its own; the rest is encoded one by one."""
+        plain, marked, other = [], [], []
+        for w in words:
+            if _letters(w):
+                plain.append(w)
+            elif w[-1] in MARKS and _letters(w[:-1]):
+                marked.append(w)
+            else:
+                other.append(w)
+        units = list({*plain, *(w[:-1] for w in marked), *(w[-1] for w in marked)})
+        found = dict(zip(units, self._units(units), strict=True))
+        out = {w: found[w] for w in plain}
+        out |= {w: found[w[:-1]] + found[w[-1]] for w in marked}
+        out |= zip(other, self._ids(other), strict=True)
+        return out
+
+    def _units(self, units: list[str]) -> list[bytes]:
+        tokenize, printable = self.tokenizer.model.tokenize, self.printable
+        out = []
+        for unit in units:
+            unit = unit.lower() if unit.isascii() else "".join(map(printable.__getitem__, unicodedata.normalize("NFC", unit).replace("Σ", "σ").lower().encode()))
+            out.append(to_bytes("<%dI" % len(ids := [t.id for t in tokenize(unit)]), *ids))
+        return out
+
     def _words(self, text: str | None) -> list[str]:
         """Parts whose ids are those of the text when joined: tokens end at a space, tab or line end. A text that names
         a special token is left whole."""
@@ -76,6 +112,11 @@ class WordEncoder:
         return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
 
 
+def _letters(word: str) -> bool:
+    """Is the word letters only, also in lower case and normal form C?"""
+    return word.isalpha() and (word.isascii() or unicodedata.normalize("NFC", word).lower().isalpha())
+
+
 def encoder(path: str) -> WordEncoder:
     if path not in _encoders:
         _encoders[path] = WordEncoder(path)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from catalith.llm import byte_bpe, exact_dedup, language_id, packing, simhash, substring_dedup
+from catalith.llm import ann, byte_bpe, exact_dedup, language_id, packing, sharding, simhash, substring_dedup, toxicity, url_filter
 from catalith.llm.common import remainder
 from catalith.session import prepare, table
 
@@ -41,10 +41,32 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return byte_bpe.round_trip(documents(spark, sf_dir), tokenizer_path(BYTE_BPE), public_tokenizers.PATTERN)
 
 
+def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(documents(spark, sf_dir))
+
+
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.classes(documents(spark, sf_dir))
 
 
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, held_out = documents(spark, sf_dir), remainder("doc_id", 5) == 0
+    out = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels"), ~held_out))
+    return out.select("doc_id", F.coalesce(held_out, F.lit(False)).alias("held_out"), "score", F.when(F.col("score") >= 0.5, 1).otherwise(0).alias("predicted"))
+
+
+def op7_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(prepare(spark), sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+#: (host, path, verdict) of the contract's rules.
+URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"), ("com", "/fr/", "allow"), ("com", "/de/", "block")]
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.classify(table(prepare(spark), sf_dir, "pages"), URL_RULES)
+
+
 def op9_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.classes(documents(spark, sf_dir))
 
@@ -54,7 +76,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = (op1_language_id, op2_substring_dedup, op3_byte_bpe, op5_exact_dedup, op9_simhash, op10_packing)
+    found = (op1_language_id, op2_substring_dedup, op3_byte_bpe, op4_sharding, op5_exact_dedup, op6_toxicity, op7_nearest, op8_url_filter, op9_simhash, op10_packing)
     return {f.__name__: f for f in found}
 
 
