@@ -5,12 +5,14 @@ trained in numpy on the risk
 
     prior * E_P[l(f, +1)] + max(0, E_U[l(f, -1)] - prior * E_P[l(f, -1)])
 
-with the logistic loss l; where the second part falls below zero on a batch, the step is taken against it, so
-it can't be fitted away. The prior is the share of toxic rows among the labels one may learn from. Labels of
+with the logistic loss l; where the second part falls below zero, the step is taken against it, so
+it can't be fitted away. The prior is the share of toxic rows among the labels one may learn from, or what telling words
+indicate (see `telling`), whichever is less. Labels of
 clean rows serve for nothing else: they are unlabelled text like all other.
 
 Features are the presence of words (lower case, letters only), hashed to `FEATURES` places; a place must occur
-in `LEAST_TEXTS` texts of the sample, others have no weight. Training takes a bounded sample by a hash of the
+in `LEAST_TEXTS` texts of the sample and be told apart by `LEAST_Z` standard errors between positives and unlabelled texts,
+others have no weight. Training takes a bounded sample by a hash of the
 id: about `POSITIVES` toxic and `UNLABELLED` unlabelled texts, none longer than `SAMPLE_LONGEST` bytes. Every whole text
 of all rows is scored.
 
@@ -32,9 +34,9 @@ from pyspark.sql import functions as F
 
 from catalith.llm.common import Memo, batches_of_documents, text_bytes
 
-FEATURES, LEAST_TEXTS = 1 << 18, 4
+FEATURES, LEAST_TEXTS, LEAST_Z = 1 << 18, 4, 5.0
 POSITIVES, UNLABELLED, SAMPLE_LONGEST = 2_000, 8_000, 50_000
-EPOCHS, BATCH, RATE, DECAY, SEED = 30, 256, 0.02, 1e-5, 11
+STEPS, RATE, DECAY = 600, 0.1, 1e-5
 
 #: Letters and bytes beyond ASCII stay, A-Z in lower case; the rest is space.
 _LETTERS = bytes(c + 32 if 65 <= c <= 90 else c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -75,58 +77,59 @@ class Model:
 
 
 def _flat(rows: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
-    """Places of all texts in a row, and where each text begins; a text without words has the spare place."""
-    rows = [r if len(r) else np.array([FEATURES]) for r in rows]
-    lengths = np.fromiter(map(len, rows), np.int64, len(rows))
-    return np.concatenate(rows), np.cumsum(lengths) - lengths
+    """Places of all texts in a row, and the text that each belongs to."""
+    return np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), np.repeat(np.arange(len(rows)), [len(r) for r in rows])
 
 
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Model:
-    """Fit by Adam on shuffled batches that hold both kinds in proportion."""
+    """Fit by Adam on the whole sample; few places are left of it."""
     if not positive or not unlabelled:
         return Model(np.zeros(0), np.zeros(0), -40.0)
-    seen = np.bincount(np.concatenate([*positive, *unlabelled]), minlength=FEATURES + 1)
-    keep = seen >= LEAST_TEXTS
-    both = [[r[keep[r]] for r in part] for part in (positive, unlabelled)]
-    rng = np.random.default_rng(SEED)
+    keep, prior = telling(positive, unlabelled, prior)
+    parts = [(*_flat([r[keep[r]] for r in part]), len(part)) for part in (positive, unlabelled)]
     weight, first, second = np.zeros(FEATURES + 2), np.zeros(FEATURES + 2), np.zeros(FEATURES + 2)  # the last is the intercept
     weight[-1] = np.log(prior / (1 - prior))
-    step, batches = 0, max(1, len(both[1]) // BATCH)
-    for epoch in range(EPOCHS):
-        orders = [rng.permutation(len(part)) for part in both]
-        rate = RATE * (1 - epoch / EPOCHS) + 1e-4
-        for b in range(batches):
-            grads, losses = [], []
-            for part, order in zip(both, orders, strict=True):
-                rows = [part[i] for i in order[b::batches]]
-                if not rows:
-                    rows = [part[order[b % len(order)]]]
-                at, begin = _flat(rows)
-                f = np.add.reduceat(weight[at], begin) + weight[-1]
-                p = 1 / (1 + np.exp(-np.clip(f, -40, 40)))
-                owner = np.repeat(np.arange(len(rows)), np.diff(np.r_[begin, len(at)]))
-                grads.append([_gradient(at, owner, d, len(rows)) for d in (p - 1, p)])  # of l(f, +1) and of l(f, -1)
-                losses.append(np.logaddexp(0, np.clip(f, -40, 40)).mean())
-            negative_risk = losses[1] - prior * losses[0]
-            if negative_risk >= 0:
-                g = prior * grads[0][0] + grads[1][1] - prior * grads[0][1]
-            else:
-                g = prior * grads[0][1] - grads[1][1]
-            g[:-1] += DECAY * weight[:-1]
-            g[FEATURES] = 0
-            step += 1
-            first += 0.1 * (g - first)
-            second += 0.001 * (g * g - second)
-            weight -= rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
-    weight[FEATURES] = 0
+    used = np.unique(np.concatenate([np.concatenate([at for at, _, _ in parts]), [FEATURES + 1]]))
+    for step in range(1, STEPS + 1):
+        grads, losses = [], []
+        for at, owner, n in parts:
+            f = np.bincount(owner, weights=weight[at], minlength=n) + weight[-1]
+            p = 1 / (1 + np.exp(-np.clip(f, -40, 40)))
+            grads.append([_gradient(at, owner, d, used) for d in (p - 1, p)])  # of l(f, +1) and of l(f, -1)
+            losses.append(np.logaddexp(0, np.clip(f, -40, 40)).mean())
+        if losses[1] - prior * losses[0] >= 0:
+            g = prior * grads[0][0] + grads[1][1] - prior * grads[0][1]
+        else:
+            g = prior * grads[0][1] - grads[1][1]
+        g += np.where(used <= FEATURES, DECAY * weight[used], 0)
+        g[used == FEATURES] = 0
+        first[used] += 0.1 * (g - first[used])
+        second[used] += 0.001 * (g * g - second[used])
+        rate = RATE * (1 - 0.9 * step / STEPS)
+        weight[used] -= rate * (first[used] / (1 - 0.9**step)) / (np.sqrt(second[used] / (1 - 0.999**step)) + 1e-8)
     places = np.flatnonzero(weight[:FEATURES])
     return Model(places, weight[places], weight[-1])
 
 
-def _gradient(at: np.ndarray, owner: np.ndarray, d: np.ndarray, rows: int) -> np.ndarray:
+def telling(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> tuple[np.ndarray, float]:
+    """Which places differ between the two kinds by `LEAST_Z` standard errors of their shares, and are not too rare; and the prior.
+    What only positives have is as much rarer in unlabelled text as positives are: the prior is no more than the ratio
+    of the shares at the places with the lowest ones."""
+    a, b = (np.bincount(np.concatenate([*rows, np.zeros(0, np.int64)]).astype(np.int64), minlength=FEATURES + 1) for rows in (positive, unlabelled))
+    n, m = len(positive), len(unlabelled)
+    share = (a + b) / (n + m)
+    error = np.sqrt(np.maximum(share * (1 - share), 1e-12) * (1 / n + 1 / m))
+    keep = (a + b >= LEAST_TEXTS) & (np.abs(a / n - b / m) >= LEAST_Z * error)
+    own = keep & (a / n > b / m) & (a >= 10)
+    if own.any():
+        prior = min(prior, max(0.001, float(np.quantile((b / m)[own] / (a / n)[own], 0.25))))
+    return keep, prior
+
+
+def _gradient(at: np.ndarray, owner: np.ndarray, d: np.ndarray, used: np.ndarray) -> np.ndarray:
     out = np.bincount(at, weights=d[owner], minlength=FEATURES + 2)
     out[-1] = d.sum()
-    return out / rows
+    return out[used] / len(d)
 
 
 def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
