@@ -192,7 +192,6 @@ class SubstringIndex:
         path = new_folder(self.spark, "index")
         rows.groupBy("bucket").applyInArrow(_merge, PACKED).write.partitionBy("kind").parquet(path)
         self.runs.append(f"{path}/kind=2")
-        tidy(self.spark)
         return self.spark.read.schema(PACKED.replace("kind int, ", "")).parquet(path + "/kind=[1]").select("doc_id", "keys")
 
     def compact(self) -> None:
@@ -205,7 +204,12 @@ class SubstringIndex:
         for run in self.runs:
             remove(self.spark, run)
         self.runs = [path]
-        tidy(self.spark)
+
+    def drop(self) -> None:
+        """Delete the runs; what `add` returned stays."""
+        for run in self.runs:
+            remove(self.spark, run)
+        self.runs = []
 
     def _read(self, run: str) -> DataFrame:
         rows = self.spark.read.schema(PACKED.replace("kind int, ", "")).parquet(run)
@@ -285,7 +289,6 @@ def verify(docs: DataFrame, shared: DataFrame, bits: int) -> DataFrame:
     wanted = _keyed(docs).select("doc_id", F.col("text").cast("binary").alias("text")).join(_gather(shared, "keys"), "doc_id")
     rows = wanted.mapInArrow(_digests(bits), PACKED)
     rows.groupBy("bucket").applyInArrow(_origins, PACKED).select("doc_id", "keys").write.parquet(path)
-    tidy(docs.sparkSession)
     return docs.sparkSession.read.schema("doc_id long, keys binary").parquet(path)
 
 
@@ -345,8 +348,12 @@ def deduplicate(docs: DataFrame, steps: int = 3, fan_in: int = 2, carry: tuple[s
         elif low is not None or not cuts:
             batch = docs.filter((F.col("doc_id") > low) | F.col("doc_id").isNull()) if low is not None else docs
         shared.append(index.add(batch))
+        del batch
+        tidy(spark)
+    index.drop()  # a lasting index would stay for the next batch of documents
     found = shared[0]
     for more in shared[1:]:
         found = found.unionByName(more)
     windows = verify(docs, found, bits)
+    tidy(spark)
     return strip(docs, found, windows, carry)
