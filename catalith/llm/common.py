@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 from collections.abc import Iterator
 
@@ -45,9 +46,12 @@ def remove(spark: SparkSession, path: str) -> None:
 
 
 def tidy(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps whose tables are written; it does so when the driver collects garbage."""
-    gc.collect()
-    spark._jvm.System.gc()
+    """Let Spark drop the shuffle files of steps whose tables are written. It does so after the driver has collected garbage:
+    the first round drops what Python held, the second what that had held in the JVM."""
+    for _ in range(2):
+        gc.collect()
+        spark._jvm.System.gc()
+        time.sleep(0.5)
 
 
 def remainder(id_column: str, n: int) -> Column:

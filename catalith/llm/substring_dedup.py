@@ -11,7 +11,7 @@ distinct anchors of a document, about two in seven windows, and loses nothing.
   `compact` merges them into one when there are `fan_in` of them.
 * `verify` looks at whole windows: those whose anchor is shared are identified by a 128-bit BLAKE2b digest
   of their exact words, and the smallest document of each is found.
-* `strip` removes the covered words.
+* `strip` removes the covered words; it is told their places, not their digests, to keep that table small.
 
 Anchors travel as packed rows, one for each key range and flush, with at most one entry for a document and
 key; a passage that a third of all documents share is therefore no more than a sliver of a range.
@@ -87,8 +87,8 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(int(LAST)).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
-def _pack(keys: np.ndarray, docs: np.ndarray, bits: int, kind: int = 0, lane: np.ndarray | None = None) -> pa.RecordBatch:
-    """Rows by key range of entries sorted by key; lane: what else each entry carries, beside its key."""
+def _pack(keys: np.ndarray, docs: np.ndarray, bits: int, kind: int = 0, lane: np.ndarray | None = None, places: np.ndarray | None = None) -> pa.RecordBatch:
+    """Rows by key range of entries sorted by key; lane and places: what else each entry carries, beside its key and its document."""
     where = buckets(keys, bits)
     cuts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(where) else np.zeros(0, np.int64)
     ends = np.r_[cuts[1:], len(keys)]
@@ -97,7 +97,7 @@ def _pack(keys: np.ndarray, docs: np.ndarray, bits: int, kind: int = 0, lane: np
         "kind": pa.array(np.full(len(cuts), kind, np.int32)),
         "bucket": pa.array(where[cuts] if len(cuts) else np.zeros(0, np.int32)),
         "keys": pa.array([body[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
-        "docs": pa.array([docs[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
+        "docs": pa.array([docs[a:b].tobytes() + (b"" if places is None else places[a:b].tobytes()) for a, b in zip(cuts, ends, strict=True)], pa.binary()),
         "doc_id": pa.nulls(len(cuts), pa.int64()),
     })
 
@@ -217,24 +217,22 @@ class SubstringIndex:
 
 
 def _digests(bits: int):
-    """(document, digest of a window) of all windows whose anchor is shared."""
+    """(document, place, digest of a window) of all windows whose anchor is shared."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[bytes, np.ndarray]] = []
+        held: list[tuple[bytes, np.ndarray, np.ndarray]] = []
         total = 0
 
         def flush():
-            body = np.frombuffer(b"".join(d for d, _ in held), np.uint64).reshape(-1, 2)
-            docs = np.concatenate([i for _, i in held])
-            order = np.lexsort((docs, body[:, 1], body[:, 0]))
-            body, docs = body[order], docs[order]
-            new = np.r_[True, (body[1:] != body[:-1]).any(1) | (docs[1:] != docs[:-1])]
+            body = np.frombuffer(b"".join(d for d, _, _ in held), np.uint64).reshape(-1, 2)
+            docs, places = np.concatenate([i for _, i, _ in held]), np.concatenate([p for _, _, p in held])
+            order = np.argsort(body[:, 0], kind="stable")
             held.clear()
-            return _pack(body[new, 0], docs[new], bits, 0, body[new, 1])
+            return _pack(body[order, 0], docs[order], bits, 0, body[order, 1], places[order])
 
         for batch in batches_of_documents(batches):
-            for doc, digests, _ in window_digests(batch):
-                held.append((b"".join(digests), np.full(len(digests), doc, np.int64)))
+            for doc, digests, places in window_digests(batch):
+                held.append((b"".join(digests), np.full(len(digests), doc, np.int64), np.array(places, np.int32)))
                 total += len(digests)
             if total >= FLUSH // 2:
                 yield flush()
@@ -245,6 +243,10 @@ def _digests(bits: int):
     return rows
 
 
+def digest(words: list[bytes]) -> bytes:
+    return hashlib.blake2b(b" ".join(words), digest_size=16).digest()
+
+
 def window_digests(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], list[int]]]:
     """Of each document: its id, and the digests and first words of the windows whose anchor is among its keys."""
     ids = _ids(batch.column("doc_id"))
@@ -260,19 +262,27 @@ def window_digests(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], li
         places = (start[lows[i] : highs[i]][hit] - begins[i]).tolist()
         if places:
             parts = texts[i].split()
-            yield int(ids[i]), [hashlib.blake2b(b" ".join(parts[p : p + WINDOW]), digest_size=16).digest() for p in places], places
+            yield int(ids[i]), [digest(parts[p : p + WINDOW]) for p in places], places
+
+
+#: A window that goes: its first word's place, and two bytes of its digest, which tell rows apart that repeat a doc_id with another text.
+GONE = np.dtype([("place", "<i4"), ("check", "<u2")])
 
 
 def _origins(table: pa.Table) -> pa.Table:
     """The windows of a digest range that start in a smaller document, by document."""
-    body = np.frombuffer(b"".join(table.column("keys").to_pylist()), np.uint64).reshape(-1, 2)
-    docs = np.frombuffer(b"".join(table.column("docs").to_pylist()), np.int64)
-    order = np.lexsort((docs, body[:, 1], body[:, 0]))
-    body, docs = body[order], docs[order]
+    keys, rest = table.column("keys").to_pylist(), table.column("docs").to_pylist()
+    body = np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2)
+    docs = np.frombuffer(b"".join(r[: len(k) // 2] for k, r in zip(keys, rest, strict=True)), np.int64)
+    places = np.frombuffer(b"".join(r[len(k) // 2 :] for k, r in zip(keys, rest, strict=True)), np.int32)
+    order = np.lexsort((body[:, 1], body[:, 0]))
+    body, docs, places = body[order], docs[order], places[order]
     cuts = np.flatnonzero(np.r_[True, (body[1:] != body[:-1]).any(1)])
-    first = np.repeat(docs[cuts], np.diff(np.r_[cuts, len(docs)]))
+    first = np.repeat(np.minimum.reduceat(docs, cuts), np.diff(np.r_[cuts, len(docs)]))
     later = docs > first
-    return pa.Table.from_batches([_reply(docs[later], body[later])])
+    gone = np.zeros(int(later.sum()), GONE)
+    gone["place"], gone["check"] = places[later], body[later, 0] & np.uint64(0xFFFF)
+    return pa.Table.from_batches([_reply(docs[later], gone)])
 
 
 def _gather(rows: DataFrame, name: str) -> DataFrame:
@@ -284,7 +294,7 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def verify(docs: DataFrame, shared: DataFrame, bits: int) -> DataFrame:
-    """(doc_id, windows): digests of the windows of a document that start in a smaller one."""
+    """(doc_id, keys): the windows of a document that start in a smaller one, as packed `GONE` entries."""
     path = new_folder(docs.sparkSession, "windows")
     wanted = _keyed(docs).select("doc_id", F.col("text").cast("binary").alias("text")).join(_gather(shared, "keys"), "doc_id")
     rows = wanted.mapInArrow(_digests(bits), PACKED)
@@ -299,19 +309,16 @@ def _strip(batches: Iterator[pa.RecordBatch], carry: list[str]) -> Iterator[pa.R
     for batch in batches_of_documents(batches):
         parts = [t.split() if t else [] for t in batch.column("text").to_pylist()]
         gone: dict[int, np.ndarray] = {}
-        windows = batch.column("windows").to_pylist()
-        busy = [i for i, w in enumerate(windows) if w]
-        if busy:
-            # by place in the batch, not by id: several rows may have one id
-            part = batch.take(pa.array(busy))
-            part = part.set_column(part.schema.get_field_index("doc_id"), "doc_id", pa.array(busy, pa.int64()))
-            for i, digests, places in window_digests(part):
-                known = {x[j : j + 16] for x in windows[i] for j in range(0, len(x), 16)}
-                cover = np.zeros(len(parts[i]) + 1, np.int32)
-                hit = np.array([p for d, p in zip(digests, places, strict=True) if d in known], np.int64)
+        for i, entries in enumerate(batch.column("windows").to_pylist()):
+            if not entries:
+                continue
+            found = np.frombuffer(b"".join(entries), GONE)
+            hit = [p for p, c in found.tolist() if digest(parts[i][p : p + WINDOW])[:2] == c.to_bytes(2, "little")]
+            if hit:
+                cover = np.zeros(len(parts[i]) + WINDOW + 1, np.int32)
                 np.add.at(cover, hit, 1)
-                np.add.at(cover, np.minimum(hit + WINDOW, len(parts[i])), -1)
-                gone[i] = np.cumsum(cover[:-1]) > 0
+                np.add.at(cover, np.array(hit) + WINDOW, -1)
+                gone[i] = np.cumsum(cover)[: len(parts[i])] > 0
         kept = [b" ".join(w for w, g in zip(p, gone[i].tolist(), strict=True) if not g) if i in gone else b" ".join(p) for i, p in enumerate(parts)]
         ids = batch.column("doc_id")
         yield pa.record_batch({
@@ -323,13 +330,13 @@ def _strip(batches: Iterator[pa.RecordBatch], carry: list[str]) -> Iterator[pa.R
         })
 
 
-def strip(docs: DataFrame, shared: DataFrame, windows: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
+def strip(docs: DataFrame, windows: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_words, n_removed, kept) of every row, and the carried columns."""
-    notes = _gather(shared, "keys").join(_gather(windows, "windows"), "doc_id")
+    notes = _gather(windows, "windows")
     more = [c for c in carry if c not in STRIPPED]
     rows = _keyed(docs).select("doc_id", F.col("text").cast("binary").alias("text"), *[F.col(c).alias("_" + c) for c in more]).join(notes, "doc_id", "left")
     schema = T.StructType([*T._parse_datatype_string("doc_id long, n_words long, n_removed long, kept binary"), *[docs.schema[c] for c in more]])
-    return rows.select("doc_id", "text", "keys", "windows", *["_" + c for c in more]).mapInArrow(partial(_strip, carry=more), schema)
+    return rows.select("doc_id", "text", "windows", *["_" + c for c in more]).mapInArrow(partial(_strip, carry=more), schema)
 
 
 def deduplicate(docs: DataFrame, steps: int = 3, fan_in: int = 2, carry: tuple[str, ...] = ()) -> DataFrame:
@@ -356,4 +363,4 @@ def deduplicate(docs: DataFrame, steps: int = 3, fan_in: int = 2, carry: tuple[s
         found = found.unionByName(more)
     windows = verify(docs, found, bits)
     tidy(spark)
-    return strip(docs, found, windows, carry)
+    return strip(docs, windows, carry)
