@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalith.functions.text import folded
 
@@ -59,14 +60,15 @@ def overlay(records: DataFrame, decisions: DataFrame) -> DataFrame:
     unknown labels are added at the end, and a decided record needs no review. records: part_number, reviewable fields, attributes, extras, confidence (map),
     provenance (map), grounded (map), needs_review."""
     renamed = decisions.select("part_number", F.col("status").alias("_status"), F.col("fields").alias("_f"), F.col("attributes").alias("_a"), F.col("extras").alias("_x"))
-    r = records.join(renamed, "part_number", "left")
     decided = F.col("_status").isNotNull()
     none = F.create_map().cast("map<string,string>")
     fields = F.map_filter(F.coalesce("_f", none), lambda k, v: k.isin(REVIEWABLE))
     own = F.coalesce("_a", F.array().cast("array<struct<label:string,value:string,uom:string>>"))
     key = lambda a: folded(F.trim(a["label"]))
     last = lambda a: F.try_element_at(F.filter(own, lambda o: key(o) == folded(a["label"])), F.lit(-1))
-    shape = records.schema["attributes"].dataType
+    shape = T.ArrayType(T.StructType([T.StructField(f.name, f.dataType) for f in records.schema["attributes"].dataType.elementType]))
+    records = records.withColumn("attributes", F.col("attributes").cast(shape))
+    r = records.join(renamed, "part_number", "left")
     made = lambda label, value, uom: F.struct(label.alias("label"), F.nullif(value, F.lit("")).alias("value"), uom.alias("uom"), F.lit(1.0).alias("confidence"), F.lit("reviewer-correction").alias("source"))
     changed = F.transform("attributes", lambda a: F.when(last(a).isNull(), a).otherwise(made(a["label"], last(a)["value"], F.coalesce(F.nullif(last(a)["uom"], F.lit("")), a["uom"]))))
     known = F.transform("attributes", lambda a: folded(a["label"]))
@@ -80,7 +82,7 @@ def overlay(records: DataFrame, decisions: DataFrame) -> DataFrame:
     note = F.when(F.col("_status") == "corrected", "values corrected by reviewer").otherwise("approved by reviewer as generated")
     marked = F.map_concat(F.map_filter(marked, lambda k, v: k != "review"), F.create_map(F.lit("review"), note))
     sure = F.transform_values(fields, lambda k, v: F.lit(1.0))
-    out["attributes"] = F.concat(changed, added).cast(shape)
+    out["attributes"] = F.concat(changed.cast(shape), added.cast(shape))
     out["extras"] = over(F.col("extras"), extras)
     out["confidence"] = F.map_concat(F.map_filter("confidence", lambda k, v: ~F.map_contains_key(sure, k)), sure)
     out["provenance"] = over(F.col("provenance"), marked)

@@ -104,7 +104,7 @@ QUERIES = {
     "o111_prefix_votes": q(lambda s, d: R.prefix_votes(observations(s, d)), f"WITH {OBS}, {_PREFIX} SELECT key, brand, n, first FROM c"),
     "o111_type_words": q(lambda s, d: R.type_words(observations(s, d)), f"WITH {OBS}, w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(product_name || ' ' || dept || ' ' || class || ' ' || classpath, '[A-Za-z]{{2,}}'))) AS word FROM obs), b AS (SELECT DISTINCT lower(unnest(regexp_extract_all(brand, '[A-Za-z]{{2,}}'))) AS word FROM obs) SELECT word FROM w WHERE word NOT IN (SELECT word FROM b)"),
     "o111_token_votes": q(lambda s, d: R.token_votes(observations(s, d).withColumn("description", F.concat_ws(" ", F.lit("special"), "description"))), f"WITH {OBS}, w AS (SELECT DISTINCT lower(unnest(regexp_extract_all(product_name || ' ' || dept || ' ' || class || ' ' || classpath, '[A-Za-z]{{2,}}'))) AS word FROM obs), b AS (SELECT DISTINCT lower(unnest(regexp_extract_all(brand, '[A-Za-z]{{2,}}'))) AS word FROM obs), k AS (SELECT row_id, brand, lower(regexp_replace(mpn, '[^A-Za-z0-9]+', '', 'g')) AS stem, lower(unnest(regexp_extract_all('special ' || description, '[A-Za-z]{{2,}}'))) AS key FROM obs) SELECT key, brand, count(*) AS n, min(row_id) AS first FROM k WHERE NOT contains(stem, key) AND (key NOT IN (SELECT word FROM w) OR key IN (SELECT word FROM b)) GROUP BY key, brand"),
-    "o112_templates": q(_templates, "WITH s AS (SELECT l_orderkey AS row_id, 'c' || (l_orderkey % 50) AS classpath, list(l_returnflag ORDER BY l_linenumber) AS labels FROM lineitem GROUP BY l_orderkey), v AS (SELECT classpath, labels, count(*) AS n, min(row_id) AS first FROM s GROUP BY ALL), b AS (SELECT classpath, labels FROM v QUALIFY row_number() OVER (PARTITION BY classpath ORDER BY n DESC, len(labels) DESC, first) = 1), e AS (SELECT classpath, first, unnest(labels) AS label, unnest(range(len(labels))) AS pos FROM v), bl AS (SELECT classpath, label, min(pos) AS pos FROM (SELECT classpath, unnest(labels) AS label, unnest(range(len(labels))) AS pos FROM b) GROUP BY ALL), rest AS (SELECT e.classpath, e.label, min(first * 1000 + pos) AS seen FROM e ANTI JOIN bl USING (classpath, label) GROUP BY ALL), u AS (SELECT classpath, label, pos - 1000000 AS o FROM bl UNION ALL SELECT classpath, label, seen FROM rest) SELECT classpath, string_agg(label, ',' ORDER BY o) AS labels FROM u GROUP BY classpath"),
+    "o112_templates": q(_templates, "WITH s AS (SELECT l_orderkey AS row_id, 'c' || (l_orderkey % 50) AS classpath, list(l_returnflag ORDER BY l_linenumber, l_returnflag) AS labels FROM lineitem GROUP BY l_orderkey), v AS (SELECT classpath, labels, count(*) AS n, min(row_id) AS first FROM s GROUP BY ALL), b AS (SELECT classpath, labels FROM v QUALIFY row_number() OVER (PARTITION BY classpath ORDER BY n DESC, len(labels) DESC, first) = 1), e AS (SELECT classpath, first, unnest(labels) AS label, unnest(range(len(labels))) AS pos FROM v), bl AS (SELECT classpath, label, min(pos) AS pos FROM (SELECT classpath, unnest(labels) AS label, unnest(range(len(labels))) AS pos FROM b) GROUP BY ALL), rest AS (SELECT e.classpath, e.label, min(first * 1000 + pos) AS seen FROM e ANTI JOIN bl USING (classpath, label) GROUP BY ALL), u AS (SELECT classpath, label, pos - 1000000 AS o FROM bl UNION ALL SELECT classpath, label, seen FROM rest) SELECT classpath, string_agg(label, ',' ORDER BY o) AS labels FROM u GROUP BY classpath"),
     "o113_brand_approvals": q(lambda s, d: R.brand_approvals(observations(s, d).withColumn("brand", F.concat_ws("-", "supplier", "fine", "dept"))).select("brand", F.array_join("approvals", ",").alias("approvals")), f"WITH {OBS}, s AS (SELECT supplier || '-' || fine || '-' || dept AS brand, list_sort([flag, status]) AS st, row_id FROM obs), c AS (SELECT brand, st, count(*) AS n, min(row_id) AS first FROM s GROUP BY ALL), r AS (SELECT *, sum(n) OVER (PARTITION BY brand) AS t, row_number() OVER (PARTITION BY brand ORDER BY n DESC, first) AS rn FROM c) SELECT brand, array_to_string(st, ',') AS approvals FROM r WHERE rn = 1 AND t >= 3 AND n / t >= 0.8"),
     "o114_token_counts": q(lambda s, d: R.approval_counts(observations(s, d)), f"WITH {OBS}, t AS (SELECT row_id, unnest(string_split(approvals, '|')) AS token FROM obs) SELECT token, count(*) AS n, min(row_id) AS first FROM t GROUP BY token"),
     "o115_rates": q(lambda s, d: R.rates(observations(s, d).withColumn("late", F.when(F.col("fine").cast("int") > 25, "x").otherwise("")), "brand", ["late", "supplier"]), f"WITH {OBS} SELECT brand, count(*) AS rows, round_even(count(*) FILTER (CAST(fine AS INT) > 25) / count(*), 3) AS late, round_even(count(*) FILTER (supplier <> '') / count(*), 3) AS supplier FROM obs GROUP BY brand"),
