@@ -87,15 +87,20 @@ def _ids(column: pa.Array) -> np.ndarray:
     return column.fill_null(int(LAST)).to_numpy(zero_copy_only=False).astype(np.int64)
 
 
+def _starts(values: np.ndarray) -> np.ndarray:
+    """Where each run of equal values begins."""
+    return np.flatnonzero(np.r_[True, values[1:] != values[:-1]]) if len(values) else np.zeros(0, np.int64)
+
+
 def _pack(keys: np.ndarray, docs: np.ndarray, bits: int, kind: int = 0, lane: np.ndarray | None = None, places: np.ndarray | None = None) -> pa.RecordBatch:
     """Rows by key range of entries sorted by key; lane and places: what else each entry carries, beside its key and its document."""
     where = buckets(keys, bits)
-    cuts = np.flatnonzero(np.r_[True, where[1:] != where[:-1]]) if len(where) else np.zeros(0, np.int64)
-    ends = np.r_[cuts[1:], len(keys)]
+    cuts = _starts(where)
+    ends = np.r_[cuts, len(keys)][1:]
     body = keys if lane is None else np.column_stack([keys, lane])
     return pa.record_batch({
         "kind": pa.array(np.full(len(cuts), kind, np.int32)),
-        "bucket": pa.array(where[cuts] if len(cuts) else np.zeros(0, np.int32)),
+        "bucket": pa.array(where[cuts]),
         "keys": pa.array([body[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
         "docs": pa.array([docs[a:b].tobytes() + (b"" if places is None else places[a:b].tobytes()) for a, b in zip(cuts, ends, strict=True)], pa.binary()),
         "doc_id": pa.nulls(len(cuts), pa.int64()),
@@ -106,14 +111,14 @@ def _reply(docs: np.ndarray, body: np.ndarray) -> pa.RecordBatch:
     """One row for each document with the entries that concern it."""
     order = np.argsort(docs, kind="stable")
     docs, body = docs[order], body[order]
-    cuts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]) if len(docs) else np.zeros(0, np.int64)
-    ends = np.r_[cuts[1:], len(docs)]
+    cuts = _starts(docs)
+    ends = np.r_[cuts, len(docs)][1:]
     return pa.record_batch({
         "kind": pa.array(np.full(len(cuts), 1, np.int32)),
         "bucket": pa.nulls(len(cuts), pa.int32()),
         "keys": pa.array([body[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
         "docs": pa.nulls(len(cuts), pa.binary()),
-        "doc_id": pa.array(docs[cuts] if len(cuts) else np.zeros(0, np.int64)),
+        "doc_id": pa.array(docs[cuts]),
     })
 
 
@@ -191,8 +196,8 @@ class SubstringIndex:
             rows = rows.unionByName(self._read(run))
         path = new_folder(self.spark, "index")
         rows.groupBy("bucket").applyInArrow(_merge, PACKED).write.partitionBy("kind").parquet(path)
-        self.runs.append(f"{path}/kind=2")
-        return self.spark.read.schema(PACKED.replace("kind int, ", "")).parquet(path + "/kind=[1]").select("doc_id", "keys")
+        self.runs.append(path)
+        return self.spark.read.schema(PACKED).parquet(path).filter("kind = 1").select("doc_id", "keys")
 
     def compact(self) -> None:
         """Merge all runs into one; their keys are disjoint."""
@@ -200,20 +205,18 @@ class SubstringIndex:
         rows = self._read(self.runs[0])
         for run in self.runs[1:]:
             rows = rows.unionByName(self._read(run))
-        rows.groupBy("bucket").applyInArrow(_join_runs, PACKED).drop("kind").write.parquet(path)
-        for run in self.runs:
-            remove(self.spark, run)
+        rows.groupBy("bucket").applyInArrow(_join_runs, PACKED).write.partitionBy("kind").parquet(path)
+        self.drop()
         self.runs = [path]
 
     def drop(self) -> None:
         """Delete the runs; what `add` returned stays."""
         for run in self.runs:
-            remove(self.spark, run)
+            remove(self.spark, f"{run}/kind=2")
         self.runs = []
 
     def _read(self, run: str) -> DataFrame:
-        rows = self.spark.read.schema(PACKED.replace("kind int, ", "")).parquet(run)
-        return rows.select(F.lit(2).alias("kind"), "bucket", "keys", "docs", "doc_id")
+        return self.spark.read.schema(PACKED).parquet(run).filter("kind = 2").select("kind", "bucket", "keys", "docs", "doc_id")
 
 
 def _digests(bits: int):
@@ -344,16 +347,13 @@ def deduplicate(docs: DataFrame, steps: int = 3, fan_in: int = 2, carry: tuple[s
     spark = docs.sparkSession
     bits = bits_for(corpus_bytes(docs), RANGE_BYTES)
     index, shared = SubstringIndex(spark, bits, fan_in), []
-    cuts = sorted(set(docs.approxQuantile("doc_id", [i / steps for i in range(1, steps)], 0.01)))
-    lows = [None, *cuts]
-    for low, high in zip(lows, [*cuts, None], strict=True):
-        batch = docs
-        if low is not None:
-            batch = batch.filter(F.col("doc_id") > low)
+    wanted = [i / steps for i in range(1, steps)]
+    found = docs.agg(F.percentile_approx("doc_id", wanted, 1_000).alias("cuts")).first()["cuts"] if wanted else []
+    cuts = sorted(set(found or []))
+    for low, high in zip([None, *cuts], [*cuts, None], strict=True):
+        batch = docs if low is None else docs.filter((F.col("doc_id") > low) | F.col("doc_id").isNull())
         if high is not None:
             batch = batch.filter(F.col("doc_id") <= high)
-        elif low is not None or not cuts:
-            batch = docs.filter((F.col("doc_id") > low) | F.col("doc_id").isNull()) if low is not None else docs
         shared.append(index.add(batch))
         del batch
         tidy(spark)
