@@ -53,11 +53,7 @@ def token_set_ratio(a: str, b: str) -> float:
     return max(found, ratio(shared, left), ratio(shared, right)) if both else found
 
 
-def partial_ratio(a: str, b: str) -> float:
-    """The best ratio of the shorter string with any stretch of the longer one, stretches at the ends included."""
-    short, long = (a, b) if len(a) <= len(b) else (b, a)
-    if not short:
-        return 100.0 if not long else 0.0
+def _slide(short: str, long: str) -> float:
     n, best, seen = len(short), 0.0, set(short)
     for start in range(1 - n, len(long)):
         part = long[max(0, start) : start + n]
@@ -65,7 +61,15 @@ def partial_ratio(a: str, b: str) -> float:
             best = max(best, ratio(short, part))
             if best == 100.0:
                 break
-    return max(best, partial_ratio(b, a) if len(a) == len(b) and a > b else 0.0)
+    return best
+
+
+def partial_ratio(a: str, b: str) -> float:
+    """The best ratio of the shorter string with any stretch of the longer one, stretches at the ends included; both ways round if they are equally long."""
+    short, long = (a, b) if len(a) <= len(b) else (b, a)
+    if not short:
+        return 100.0 if not long else 0.0
+    return max(_slide(short, long), _slide(long, short) if len(a) == len(b) else 0.0)
 
 
 def weighted_ratio(a: str, b: str) -> float:
