@@ -107,21 +107,43 @@ def _pack(keys: np.ndarray, docs: np.ndarray, bits: int, kind: int = 0, lane: np
     })
 
 
-def _reply(docs: np.ndarray, body: np.ndarray) -> pa.RecordBatch:
-    """One row for each document with the entries that concern it."""
-    order = np.argsort(docs, kind="stable")
-    docs, body = docs[order], body[order]
-    cuts = _starts(docs)
+def _reply(docs: np.ndarray, body: np.ndarray, bits: int) -> pa.RecordBatch:
+    """What concerns each document, packed by ranges of mixed doc_ids, so that a range of keys sends one row to a range of documents."""
+    where = buckets(mix(docs.view(np.uint64)), bits)
+    order = np.argsort(where, kind="stable")
+    docs, body, where = docs[order], body[order], where[order]
+    cuts = _starts(where)
     ends = np.r_[cuts, len(docs)][1:]
     return pa.record_batch({
         "kind": pa.array(np.full(len(cuts), 1, np.int32)),
-        "bucket": pa.nulls(len(cuts), pa.int32()),
+        "bucket": pa.array(where[cuts]),
         "keys": pa.array([body[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
-        "docs": pa.nulls(len(cuts), pa.binary()),
-        "doc_id": pa.array(docs[cuts]),
+        "docs": pa.array([docs[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary()),
+        "doc_id": pa.nulls(len(cuts), pa.int64()),
     })
 
 
+def _bound(function, bits: int):
+    """A function of one table, which is all that Spark takes here."""
+
+    def rows(table: pa.Table) -> pa.Table:
+        return function(table, bits)
+
+    return rows
+
+
+def _by_document(table: pa.Table) -> pa.Table:
+    """One row for each document of a range, with all entries that concern it."""
+    packed = b"".join(table.column("keys").to_pylist())
+    docs = np.frombuffer(b"".join(table.column("docs").to_pylist()), np.int64)
+    entries = np.frombuffer(packed, f"V{len(packed) // len(docs)}") if len(docs) else np.zeros(0, "V1")
+    order = np.argsort(docs, kind="stable")
+    docs, entries = docs[order], entries[order]
+    cuts = _starts(docs)
+    ends = np.r_[cuts, len(docs)][1:]
+    return pa.table({"doc_id": pa.array(docs[cuts]), "keys": pa.array([entries[a:b].tobytes() for a, b in zip(cuts, ends, strict=True)], pa.binary())})
+
+
 def _anchor_rows(bits: int):
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, docs, held = [], [], 0
@@ -152,7 +174,7 @@ def _anchor_rows(bits: int):
     return rows
 
 
-def _merge(table: pa.Table) -> pa.Table:
+def _merge(table: pa.Table, bits: int) -> pa.Table:
     """Merge a key range of a batch (kind 0) with that of the runs (kind 2): replies (kind 1) and the new run (kind 2)."""
     kinds = table.column("kind").to_numpy()
     take = lambda name, kind, dtype: np.frombuffer(b"".join(x for x, k in zip(table.column(name).to_pylist(), kinds, strict=True) if k == kind), dtype)
@@ -169,7 +191,7 @@ def _merge(table: pa.Table) -> pa.Table:
     shared = np.repeat((first != last) & np.logical_or.reduceat(~known, cuts), sizes)
     run = _pack(keys[cuts][fresh], first[fresh], 0, 2)
     run = run.set_column(run.schema.get_field_index("bucket"), "bucket", pa.array(np.full(run.num_rows, bucket, np.int32)))
-    return pa.Table.from_batches([_reply(docs[shared], keys[shared]), run])
+    return pa.Table.from_batches([_reply(docs[shared], keys[shared], bits), run])
 
 
 def _join_runs(table: pa.Table) -> pa.Table:
@@ -188,16 +210,16 @@ class SubstringIndex:
         self.runs: list[str] = []
 
     def add(self, docs: DataFrame) -> DataFrame:
-        """Index a batch; return (doc_id, keys) of the anchors that it shares with others, origins included."""
+        """Index a batch; return the anchors that it shares with others, packed by ranges of documents, origins included."""
         if len(self.runs) >= self.fan_in:
             self.compact()
         rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).mapInArrow(_anchor_rows(self.bits), PACKED)
         for run in self.runs:
             rows = rows.unionByName(self._read(run))
         path = new_folder(self.spark, "index")
-        rows.groupBy("bucket").applyInArrow(_merge, PACKED).write.partitionBy("kind").parquet(path)
+        rows.groupBy("bucket").applyInArrow(_bound(_merge, self.bits), PACKED).write.partitionBy("kind").parquet(path)
         self.runs.append(path)
-        return self.spark.read.schema(PACKED).parquet(path).filter("kind = 1").select("doc_id", "keys")
+        return self.spark.read.schema(PACKED).parquet(path).filter("kind = 1").select("bucket", "keys", "docs")
 
     def compact(self) -> None:
         """Merge all runs into one; their keys are disjoint."""
@@ -261,7 +283,7 @@ def window_digests(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], li
     for i, keys in enumerate(wanted):
         if not keys or lows[i] == highs[i]:
             continue
-        hit = np.isin(key[lows[i] : highs[i]], np.frombuffer(b"".join(keys), np.uint64))
+        hit = np.isin(key[lows[i] : highs[i]], np.frombuffer(keys, np.uint64))
         places = (start[lows[i] : highs[i]][hit] - begins[i]).tolist()
         if places:
             parts = texts[i].split()
@@ -272,8 +294,8 @@ def window_digests(batch: pa.RecordBatch) -> Iterator[tuple[int, list[bytes], li
 GONE = np.dtype([("place", "<i4"), ("check", "<u2")])
 
 
-def _origins(table: pa.Table) -> pa.Table:
-    """The windows of a digest range that start in a smaller document, by document."""
+def _origins(table: pa.Table, bits: int) -> pa.Table:
+    """The windows of a digest range that start in a smaller document."""
     keys, rest = table.column("keys").to_pylist(), table.column("docs").to_pylist()
     body = np.frombuffer(b"".join(keys), np.uint64).reshape(-1, 2)
     docs = np.frombuffer(b"".join(r[: len(k) // 2] for k, r in zip(keys, rest, strict=True)), np.int64)
@@ -285,11 +307,12 @@ def _origins(table: pa.Table) -> pa.Table:
     later = docs > first
     gone = np.zeros(int(later.sum()), GONE)
     gone["place"], gone["check"] = places[later], body[later, 0] & np.uint64(0xFFFF)
-    return pa.Table.from_batches([_reply(docs[later], gone)])
+    return pa.Table.from_batches([_reply(docs[later], gone, bits)])
 
 
 def _gather(rows: DataFrame, name: str) -> DataFrame:
-    return rows.groupBy("doc_id").agg(F.collect_list("keys").alias(name))
+    """(doc_id, name): one row for each document."""
+    return rows.groupBy("bucket").applyInArrow(_by_document, "doc_id long, keys binary").withColumnRenamed("keys", name)
 
 
 def _keyed(docs: DataFrame) -> DataFrame:
@@ -297,12 +320,12 @@ def _keyed(docs: DataFrame) -> DataFrame:
 
 
 def verify(docs: DataFrame, shared: DataFrame, bits: int) -> DataFrame:
-    """(doc_id, keys): the windows of a document that start in a smaller one, as packed `GONE` entries."""
+    """The windows that start in a smaller document, as `GONE` entries packed by ranges of documents."""
     path = new_folder(docs.sparkSession, "windows")
     wanted = _keyed(docs).select("doc_id", F.col("text").cast("binary").alias("text")).join(_gather(shared, "keys"), "doc_id")
     rows = wanted.mapInArrow(_digests(bits), PACKED)
-    rows.groupBy("bucket").applyInArrow(_origins, PACKED).select("doc_id", "keys").write.parquet(path)
-    return docs.sparkSession.read.schema("doc_id long, keys binary").parquet(path)
+    rows.groupBy("bucket").applyInArrow(_bound(_origins, bits), PACKED).select("bucket", "keys", "docs").write.parquet(path)
+    return docs.sparkSession.read.schema("bucket int, keys binary, docs binary").parquet(path)
 
 
 STRIPPED = ("doc_id", "n_words", "n_removed", "kept")
@@ -315,7 +338,7 @@ def _strip(batches: Iterator[pa.RecordBatch], carry: list[str]) -> Iterator[pa.R
         for i, entries in enumerate(batch.column("windows").to_pylist()):
             if not entries:
                 continue
-            found = np.frombuffer(b"".join(entries), GONE)
+            found = np.frombuffer(entries, GONE)
             hit = [p for p, c in found.tolist() if digest(parts[i][p : p + WINDOW])[:2] == c.to_bytes(2, "little")]
             if hit:
                 cover = np.zeros(len(parts[i]) + WINDOW + 1, np.int32)
