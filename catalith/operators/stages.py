@@ -49,9 +49,12 @@ def classify(rows: DataFrame, registry: Registry, index: retrieval.Index, labell
     its own confidence up to 0.95, off the list 0.55, none at all 0.45 by the neighbours' votes or the first candidate. labelled: (row_id, classpath, product_name); answers: (row_id, answer, answer_confidence)."""
     known = candidates(rows, registry.triples)
     open_ = known.filter(F.size("candidates") > 1)
-    queries = open_.select(F.col("row_id").alias("query_id"), F.col("description").alias("text"))
+    # descriptions repeat, so each is searched once and its neighbours go to all rows that have it
+    texts = open_.groupBy("description").agg(F.min("row_id").alias("query_id"))
     names = labelled.select("row_id", "classpath", "product_name")
-    near = index.neighbours(queries, 12).join(names, "row_id")
+    found = index.neighbours(texts.select("query_id", F.col("description").alias("text")), 12).join(names, "row_id").withColumnRenamed("query_id", "text_id")
+    of = open_.select(F.col("row_id").alias("asking"), "description").join(texts, "description").select(F.col("asking").alias("query_id"), F.col("query_id").alias("text_id"))
+    near = of.join(found, "text_id").drop("text_id")
     options = open_.select(F.col("row_id").alias("query_id"), F.explode("candidates").alias("classpath"))
     decided = retrieval.decide(near.filter("rank <= 5"), options).select(F.col("query_id").alias("row_id"), F.col("classpath").alias("_near"), F.col("score").alias("_score"))
     voted = retrieval.rank_candidates(near, options).filter("rank = 1").select(F.col("query_id").alias("row_id"), F.col("classpath").alias("_voted"))

@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalith.plans import registry_queries, stage_queries, text_queries
+from catalith.plans import more_queries, registry_queries, stage_queries, text_queries
 
-PARTS = [registry_queries.QUERIES, text_queries.QUERIES, stage_queries.QUERIES]
+PARTS = [registry_queries.QUERIES, text_queries.QUERIES, stage_queries.QUERIES, more_queries.QUERIES]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
