@@ -24,7 +24,7 @@ def test_stages(spark):
     kept = {}
     for name, stage in corpus_pipeline.STAGES[:-1]:
         before = {r.doc_id: r for r in docs.collect()}
-        docs = Q.written(stage(spark, docs, SF), "test") if hasattr(Q, "written") else stage(spark, docs, SF).cache()
+        docs = stage(spark, docs, SF).cache()
         assert docs.columns == list(corpus_pipeline.COLUMNS)
         after = {r.doc_id: r for r in docs.collect()}
         assert set(after) <= set(before) and after
