@@ -124,7 +124,7 @@ QUERIES = {
     "o032_truncate_clean": (_truncated, f"WITH o AS (SELECT doc_id, {_SQUEEZED} AS t FROM documents), c AS (SELECT *, t[1:60] AS cut FROM o) SELECT doc_id, CASE WHEN length(t) <= 60 THEN t ELSE regexp_replace(CASE WHEN contains(cut, ' ') THEN regexp_replace(cut, ' [^ ]*$', '') ELSE cut END, '[ ,;:\\-|/]+$', '') END AS short FROM c"),
     "o033_invoice_line": _cases(X.invoice_line_folded, [("stainless steel duplex receptacle cover with mounting bracket", "SST DUPLEX RCPT COVER WITH MTG BRACKET"), ("short line", "SHORT LINE"), ("industrial square toggle switch cover plate black", "INDL SQ TOGGLE SWITCH COVER PLATE BLACK")]),
     "o035_glue_units": _cases(X.glue_units, [("120 V 15 A", "120V 15A"), ("24 IN x 2 FT", "24IN x 2FT"), ("24 in", "24 in"), (None, "")]),
-    "o036_bare_number": (lambda s, d: table(prepare(s), d, "documents").select("doc_id", F.explode(F.slice(F.split("text", " "), 1, 100_000)).alias("w")).groupBy(X.is_bare_number(F.col("w")).alias("bare")).agg(F.count("*").alias("n")), "WITH w AS (SELECT unnest(string_split(text, ' ')) AS w FROM documents) SELECT regexp_full_match(trim(w), '[\\d.,/\\s-]+') AS bare, count(*) AS n FROM w GROUP BY 1"),
+    "o036_bare_number": (lambda s, d: table(prepare(s), d, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("w")).groupBy(X.is_bare_number(F.col("w")).alias("bare")).agg(F.count("*").alias("n")), "WITH w AS (SELECT unnest(string_split(text, ' ')) AS w FROM documents) SELECT regexp_full_match(trim(w), '[\\d.,/\\s-]+') AS bare, count(*) AS n FROM w GROUP BY 1"),
     "o037_decimal_to_fraction": (_measures, "WITH x AS (SELECT DISTINCT CAST(l_quantity AS DOUBLE) / 64 AS x FROM lineitem), p AS (SELECT x, CAST(floor(x) AS BIGINT) AS w, CAST(round_even((x - floor(x)) * 64, 0) AS BIGINT) AS t FROM x), g AS (SELECT *, CASE WHEN t % 32 = 0 THEN 32 WHEN t % 16 = 0 THEN 16 WHEN t % 8 = 0 THEN 8 WHEN t % 4 = 0 THEN 4 WHEN t % 2 = 0 THEN 2 ELSE 1 END AS c FROM p) SELECT round_even(x, 6) AS x, CASE WHEN t = 0 THEN CAST(w AS VARCHAR) WHEN w = 0 THEN CAST(t // c AS VARCHAR) || '/' || CAST(64 // c AS VARCHAR) ELSE CAST(w AS VARCHAR) || '-' || CAST(t // c AS VARCHAR) || '/' || CAST(64 // c AS VARCHAR) END AS fraction FROM g"),
     "o038_fractions_in_text": _cases(M.fractions_in_text, [("0.5 in and 50.25", "1/2 in and 50-1/4"), ("42 3/4", "42-3/4"), ("v1.5", "v1.5"), ("1.68 gal", "1.68 gal"), ("3.0 ft", "3 ft")]),
     "o039_snap_decimal_inches": _cases(M.snap_decimal_inches, [("5.6 in", "5-5/8 in"), ("8.5in", "8-1/2 in"), ('3.25"', "3-1/4 in"), ("5.6 mm", "5.6 mm"), ("0.99 in", "1 in")]),
