@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from catalith.functions import identifiers as I
 from catalith.operators import decisions as D
 from catalith.operators import evidence as E
 from catalith.operators import registry as R
@@ -148,10 +149,13 @@ def _pages(s, d):
 
 
 def _gather(s, d):
-    pages = E.documents(_t("pages")(s, d)).withColumn("domain", F.lit("example.com")).withColumn("seen", F.col("page_id"))
-    records = prepare(s).range(20).select(F.concat(F.lit("r"), F.col("id").cast("string")).alias("part_number"), F.concat(F.lit("example"), F.lit("")).alias("mpn"))
+    """A record for each page, its language and number as part number. All own example.com; those it does not name fall back to the other two domains."""
+    raw = _t("pages")(s, d)
+    pages = E.documents(raw).withColumn("domain", I.registrable(I.host_of(F.col("url")))).withColumn("seen", F.col("page_id"))
+    records = raw.select(F.concat(F.lit("r"), F.col("page_id").cast("string")).alias("part_number"), F.regexp_extract("url", r"/([a-z]{2}/\d+)", 1).alias("mpn"))
     domains = records.select("part_number", F.lit("example.com").alias("domain"))
-    return E.gather(records, pages, domains, domains.select("domain").distinct()).select("part_number", "url", "place", "third_party")
+    reputable = prepare(s).createDataFrame([("example.org",), ("example.net",)], "domain string")
+    return E.gather(records, pages, domains, reputable).select("part_number", "url", "place", "third_party")
 
 
 # -- style and descriptions over the proxy catalogue ----------------------------------------------------------------------------------
