@@ -21,9 +21,11 @@ import hashlib
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalith.llm.common import batches_of_documents, text_bytes, written
 
@@ -44,6 +46,12 @@ def normalise(text: bytes) -> bytes:
     return _RUNS.sub(b" ", text) if b"  " in text else text
 
 
+@F.pandas_udf(T.StringType())
+def text_digest(text: pd.Series) -> pd.Series:
+    """SHA-256 of a text's normalised bytes."""
+    return text.map(lambda t: hashlib.sha256(normalise(t)).hexdigest())
+
+
 def chunk_hash(chunk: bytes) -> tuple[int, int]:
     """Fingerprint and length of a chunk."""
     return int.from_bytes(chunk, "big") % PRIME, len(chunk)

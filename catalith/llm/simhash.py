@@ -18,10 +18,12 @@ from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from catalith.llm.common import batches_of_documents, text_bytes, written
 from catalith.llm.components import components
@@ -200,12 +202,27 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.select("r", "fp").mapInArrow(_subtree_links, "a long, b long")
 
 
+def hexadecimal(fp: Column) -> Column:
+    return F.lower(F.lpad(F.hex(fp), 16, "0"))
+
+
+@F.pandas_udf(T.LongType())
+def fingerprint(text: pd.Series) -> pd.Series:
+    """The fingerprint of a text's bytes."""
+    return pd.Series(fingerprints(text.tolist()).view(np.int64))
+
+
 def classes(docs: DataFrame) -> DataFrame:
     """(doc_id, fingerprint, component_id) of every row."""
+    return rooted(docs).select("doc_id", hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
+
+
+def rooted(docs: DataFrame) -> DataFrame:
+    """(doc_id, fp, component_id, root) of every row; root tells components without any id apart."""
     fps = written(docs.select("doc_id", text_bytes().alias("text")).mapInArrow(_fingerprint_rows, "doc_id long, fp long"), "fingerprints")
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct))
     named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     least = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = written(named.join(least, "root").select("fp", "component_id"), "classes")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    named = written(named.join(least, "root").select("fp", "component_id", "root"), "classes")
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id", "root")

@@ -4,19 +4,25 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from catalith.llm import exact_dedup, language_id, packing, queries, simhash, substring_dedup
-from catalith.llm.common import written
+from catalith.llm.common import text_bytes, written
 from catalith.session import prepare, table
 
 COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
 
 
-def _keep(docs: DataFrame, decisions: DataFrame) -> DataFrame:
-    """The rows of docs whose doc_id is among the decisions."""
-    return docs.join(decisions.select("doc_id").distinct(), "doc_id", "left_semi").select(*COLUMNS)
+def _key(mark: Column) -> Column:
+    """A row's id and the mark of its text; the mark alone where the id is null."""
+    return F.concat_ws(":", F.col("doc_id").cast("string"), mark)
+
+
+def _one_each(docs: DataFrame, mark: Column, kept: DataFrame) -> DataFrame:
+    """One row of docs for each `key` of kept."""
+    keyed = docs.select(*COLUMNS, _key(mark).alias("key"))
+    return keyed.join(kept, "key", "left_semi").dropDuplicates(["key"]).select(*COLUMNS)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -26,13 +32,16 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of equal texts."""
-    return _keep(docs, exact_dedup.classes(docs).filter("kept"))
+    """One row of each group of equal texts: the least id's, a null id only where the group has no other; any one of equal texts with that id."""
+    kept = exact_dedup.classes(docs).filter("kept").select(_key(F.col("text_sha256")).alias("key"))
+    return _one_each(docs, exact_dedup.text_digest(text_bytes()), kept)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component of linked fingerprints."""
-    return _keep(docs, simhash.classes(docs).filter("doc_id = component_id or component_id is null"))
+    """One row of each component of linked fingerprints, chosen by id as in `drop_copies`; the least fingerprint where that id has several."""
+    kept = simhash.rooted(docs).filter("doc_id <=> component_id").groupBy("doc_id", "root").agg(F.min("fp").alias("fp"))
+    kept = kept.select(_key(F.col("fp").cast("string")).alias("key"))
+    return _one_each(docs, simhash.fingerprint(text_bytes()).cast("string"), kept)
 
 
 def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
