@@ -1,4 +1,4 @@
-"""Lookup joins against fitted registries (O-088..O-102, O-076, O-120, O-131).
+"""Lookup joins against fitted registries (O-088..O-102, O-076, O-131).
 
 Registries grow with brands and paths, not with rows, but nothing bounds them, so no join here is forced to broadcast: Spark
 does so by the sizes it sees. Candidates travel as arrays of one key.

@@ -1,4 +1,4 @@
-"""The enrichment stages as functions from DataFrame to DataFrame (O-077, O-078, O-085..O-087, O-135, O-136, O-140, O-143, O-149..O-152, O-175).
+"""The enrichment stages as functions from DataFrame to DataFrame (O-077, O-085, O-086, O-135, O-136, O-140, O-149..O-151).
 
 Undecided rows are the only ones that reach similarity search or model answers: each stage splits them off, and joins them back by row_id.
 """
