@@ -2,11 +2,10 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -16,42 +15,82 @@ from pyspark.sql import functions as F
 
 #: Entries that a worker's memo of words may hold; words beyond it are worked out afresh.
 MEMO_ENTRIES = 400_000
+#: Makes Spark drop a query's shuffle files as soon as the query has ended.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+_roots: dict[str, str] = {}
+_made: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a folder of our own only where the session names none."""
+    """The folder that driver and executors share. Where the session names none: a folder of this machine for a local master, else one in the warehouse,
+    which a cluster shares too."""
     root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = tempfile.mkdtemp(prefix="catalith-")
-        spark.conf.set("spark.checkpoint.dir", root)
-    return root
+    if root:
+        return root
+    app = spark.sparkContext.applicationId
+    if app not in _roots:
+        local = spark.sparkContext.master.startswith("local")
+        _roots[app] = tempfile.mkdtemp(prefix="catalith-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/catalith-scratch"
+    return _roots[app]
 
 
-def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{scratch_root(spark).rstrip('/')}/catalith-{name}-{uuid.uuid4().hex}"
+def new_folder(spark: SparkSession, name: str, keep: bool = False) -> str:
+    """A new name in the shared folder. Unless it is to be kept, `released` deletes it, or else the end of the application."""
+    path = f"{scratch_root(spark).rstrip('/')}/catalith-{name}-{uuid.uuid4().hex}"
+    if not keep:
+        _made.append(path)
+    return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, keep: bool = False, by: str | None = None) -> DataFrame:
     """Write a table to the shared folder and read it again, which cuts the lineage and outlives executors."""
     spark = df.sparkSession
-    path = new_folder(spark, name)
-    df.write.parquet(path)
+    path = new_folder(spark, name, keep)
+    write(df, path, by)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def remove(spark: SparkSession, path: str) -> None:
-    """Delete a folder of the shared storage."""
-    where = spark._jvm.org.apache.hadoop.fs.Path(path)
-    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+def write(df: DataFrame, path: str, by: str | None = None) -> None:
+    """Write a table; the shuffle files that this took go with the query's end."""
+    with shuffles_dropped(df.sparkSession):
+        (df.write.partitionBy(by) if by else df.write).parquet(path)
+    if path in _made:
+        where, files = _hadoop(df.sparkSession, path)
+        files.deleteOnExit(where)
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    before = spark.conf.get(SHUFFLE_CLEANUP)
+    spark.conf.set(SHUFFLE_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(SHUFFLE_CLEANUP, before)
+
 
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """Delete, at the end, the intermediate tables that were written within; for callers that have written what they wanted."""
+    before = len(_made)
+    try:
+        yield
+    finally:
+        for path in _made[before:]:
+            remove(spark, path)
+        del _made[before:]
 
-def tidy(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of steps whose tables are written. It does so after the driver has collected garbage:
-    the first round drops what Python held, the second what that had held in the JVM."""
-    for _ in range(2):
-        gc.collect()
-        spark._jvm.System.gc()
-        time.sleep(0.5)
+
+def _hadoop(spark: SparkSession, path: str):
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)  # PySpark has no public way to delete files of a shared store
+    return where, where.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a folder of the shared storage."""
+    where, files = _hadoop(spark, path)
+    files.delete(where, True)
 
 
 def remainder(id_column: str, n: int) -> Column:

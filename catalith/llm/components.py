@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from catalith.llm.common import new_folder, remove, tidy
+from catalith.llm.common import new_folder, remove, write
 
 
 def _stars(links: DataFrame, both: bool) -> DataFrame:
@@ -33,12 +33,11 @@ def components(links: DataFrame) -> DataFrame:
     before = None
     while True:
         paths.append(new_folder(spark, "links"))
-        links.write.parquet(paths[-1])
+        write(links, paths[-1])
         links = spark.read.schema("a long, b long").parquet(paths[-1])
         now = tuple(links.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
         if len(paths) > 1:
             remove(spark, paths[-2])
-            tidy(spark)
         if now == before or not now[0]:
             return links.select(F.col("a").alias("node"), F.col("b").alias("root")).unionByName(links.select(F.col("b").alias("node"), F.col("b").alias("root")).distinct())
         before = now
