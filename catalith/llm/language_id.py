@@ -6,22 +6,26 @@ dictionary gives the fewest bytes is chosen. The choice is rejected when the mar
 `MARGIN` of the best size. A short text leaves zstandard nothing to save, so it stores it as it is; texts up to
 `SHORT` bytes are therefore encoded after a filler that is cheap in every language, with matches from 3 bytes.
 
-The dictionaries are fitted on a bounded sample: about `SAMPLE_ROWS` rows for each language, chosen by a hash
-of their id, none longer than `SAMPLE_LONGEST` bytes. Everything else covers whole texts of all rows.
+The dictionaries are fitted on a bounded sample: at most `SAMPLE_ROWS` rows for each language, chosen by a hash of
+id and text; of a row, a slice of `SLICE` characters at a place that this hash gives, or the whole text where it is
+no longer; slices are joined in the hash's order and cut at `DICTIONARY_BYTES`, so 30 rows count at least where there are
+as many. A language is never left out for the length of its texts, long or short. Each language costs every worker its dictionary
+and tables of some MB, so more than `LANGUAGES` values of lang, many more than there are codes in use, are an error.
+Everything else covers whole texts of all rows.
 
 Defined cases: a null text, and one without letters, is `und` with score 0 and not accepted; languages are
-those of the rows one may learn from, a null lang is none; where sizes tie, the language with more rows wins, then the
+those of the rows one may learn from, a null lang is none, nor is one whose sample has no letter; where sizes tie, as they do for a word or two of few bytes, the language with more rows wins, then the
 alphabet, and the choice is not accepted; no languages at all gives `und` everywhere; repeated rows and null ids are
 judged like any other; an empty table gives an empty table; extra columns are not looked at.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -29,7 +33,9 @@ from catalith.llm.common import batches_of_documents, remainder
 
 DICTIONARY_BYTES, BLOCK, LEVEL = 64 << 10, 4096, 5
 SHORT, SHORT_LEVEL, FILLER = 256, 12, b" " * 64
-SAMPLE_ROWS, SAMPLE_LONGEST = 300, 20_000
+SAMPLE_ROWS, SLICE, LANGUAGES = 300, 2_000, 1_000
+#: zstandard looks at no dictionary of up to 8 bytes, nor finds what begins in the last 8; shorter ones than this are set between spaces.
+LEAST_DICTIONARY = 1_024
 MARGIN = 0.003
 UNKNOWN = "und"
 
@@ -85,22 +91,23 @@ class Models:
 def fit(docs: DataFrame, learn: Column, sample_rows: int = SAMPLE_ROWS) -> list[tuple[str, bytes]]:
     """(language, dictionary content), the most frequent language first, from the rows where `learn` holds."""
     rows = docs.filter(learn & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    fits = F.octet_length("text") <= SAMPLE_LONGEST
-    counts = {r["lang"]: (r["n"], r["usable"]) for r in rows.groupBy("lang").agg(F.count("*").alias("n"), F.count(F.when(fits, 1)).alias("usable")).collect()}
+    counts = dict(rows.groupBy("lang").count().limit(LANGUAGES + 1).collect())
+    if len(counts) > LANGUAGES:
+        raise ValueError(f"more than {LANGUAGES} languages to learn")
     share = F.lit(0.0)
-    for lang, (_, usable) in counts.items():
-        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 1.5 * sample_rows / max(1, usable)))).otherwise(share)
-    draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("sample")), F.lit(1_000_000)) / F.lit(1_000_000.0)
+    for lang, n in counts.items():
+        share = F.when(F.col("lang") == lang, F.lit(min(1.0, 2 * sample_rows / n + 50 / n))).otherwise(share)
+    mark = F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text", F.lit("sample"))
+    drawn = rows.select("lang", "text", mark.alias("mark")).withColumn("at", F.pmod("mark", F.lit(1_000_000)) / 1_000_000.0).filter(F.col("at") < share)
+    first = (F.pmod(F.shiftrightunsigned("mark", 24), F.greatest(F.lit(1), F.length("text") - SLICE + 1)) + 1).cast("int")
+    sliced = drawn.select("lang", "at", F.substring("text", first, F.lit(SLICE)).alias("slice"))
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("at", "slice"))
     found: dict[str, list] = {lang: [] for lang in counts}
-    for r in rows.filter(fits & (draw < share)).select("lang", draw.alias("at"), "doc_id", "text").collect():
-        found[r["lang"]].append((r["at"], str(r["doc_id"]), letters(r["text"])))
-    order = sorted(counts, key=lambda lang: (-counts[lang][0], lang))
-    content = [(lang, _join(t for _, _, t in sorted(found[lang])[:sample_rows])) for lang in order]
-    return [(lang, text) for lang, text in content if len(text) >= 8]
-
-
-def _join(texts: Iterable[bytes]) -> bytes:
-    return b" ".join(t for t in texts if t)[:DICTIONARY_BYTES]
+    for r in sliced.withColumn("place", place).filter(F.col("place") <= sample_rows).collect():  # at most LANGUAGES * sample_rows slices
+        found[r["lang"]].append((r["place"], letters(r["slice"])))
+    order = sorted(counts, key=lambda lang: (-counts[lang], lang))
+    content = [(lang, b" ".join(t for _, t in sorted(found[lang]) if t)[:DICTIONARY_BYTES]) for lang in order]
+    return [(lang, text if len(text) >= LEAST_DICTIONARY else b" " * 8 + text + b" " * 16) for lang, text in content if text]
 
 
 def identify(docs: DataFrame, learn: Column | None = None, carry: tuple[str, ...] = ("doc_id",)) -> DataFrame:
