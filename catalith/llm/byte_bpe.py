@@ -314,7 +314,7 @@ def encode(docs: DataFrame, path: str, pattern: str) -> DataFrame:
             ids = [own.encode(t) for t in batch.column("text").to_pylist()]
             yield pa.record_batch({"doc_id": batch.column("doc_id"), "n_tokens": pa.array([len(x) // 4 for x in ids], pa.int64()), "ids": pa.array(ids, pa.binary())})
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(rows, ENCODED)
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(rows, ENCODED)
 
 
 def decode(encoded: DataFrame, path: str, pattern: str) -> DataFrame:
@@ -349,4 +349,4 @@ def round_trip(docs: DataFrame, path: str, pattern: str) -> DataFrame:
                 "decoded_sha256": pa.array(decoded),
             })
 
-    return docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).mapInArrow(rows, DIGESTS)
+    return docs.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text")).mapInArrow(rows, DIGESTS)
