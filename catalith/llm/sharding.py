@@ -7,11 +7,11 @@ smallest feasible shard capacity is found by binary search: a capacity is feasib
 more than the wanted number of shards. The shards are cut where greedy filling at that capacity cuts.
 
 A row's slot is the number of rows before its cell, plus its place within the cell. A cell is an atom, or one
-of the parts of about `CELL_ROWS` rows into which an atom with many rows is dealt, so a text with a third of
-all copies spreads over many tasks.
+of the parts of about `CELL_ROWS` rows into which an atom with many rows is dealt, by a number that each row gets when it is first written down,
+so a text with a third of all copies spreads over many tasks, whatever the ids.
 
 Defined cases: a null text has no bytes, size 1 and the checksum of no bytes, and goes with the empty texts;
-ties in a cell go by doc_id, then size and checksum; repeated rows have a slot each; an empty table gives an empty table; other
+rows of a cell go by doc_id, then size and checksum, and stand beside each other else; repeated rows have a slot each; an empty table gives an empty table; other
 columns are not looked at.
 """
 
@@ -45,13 +45,14 @@ CUTS = """
 
 
 def measured(docs: DataFrame) -> DataFrame:
-    """(doc_id, size, text_crc32, atom) of every row."""
+    """(doc_id, size, text_crc32, atom, number) of every row."""
     text = F.coalesce("text", F.lit(""))
     return docs.select(
         "doc_id",
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
         F.xxhash64(text).bitwiseAND(2**ATOM_BITS - 1).alias("atom"),
+        F.monotonically_increasing_id().alias("number"),
     )
 
 
@@ -71,10 +72,10 @@ def shard(docs: DataFrame, shards: int = SHARDS, cell_rows: int = CELL_ROWS) ->
     parts = F.ceil(F.col("rows") / cell_rows)
     # at most 2**ATOM_BITS rows, so it may be broadcast at any size of the corpus
     dealt = rows.join(F.broadcast(atoms.select("atom", at.alias("shard"), parts.alias("parts"))), "atom")
-    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("doc_id"), "parts"))
+    dealt = dealt.withColumn("part", F.pmod(F.xxhash64("number"), "parts"))
     before = Window.partitionBy("shard").orderBy("atom", "part").rowsBetween(Window.unboundedPreceding, -1)
     cells = dealt.groupBy("shard", "atom", "part").count().withColumn("before", F.coalesce(F.sum("count").over(before), F.lit(0)))
-    within = F.row_number().over(Window.partitionBy("atom", "part").orderBy("doc_id", "size", "text_crc32"))
+    within = F.row_number().over(Window.partitionBy("atom", "part").orderBy("doc_id", "size", "text_crc32", "number"))
     placed = dealt.withColumn("within", within).join(cells.select("atom", "part", "before"), ["atom", "part"])
     return placed.select(
         "doc_id", "size", "text_crc32", F.lit(LAW).alias("law"), "shard", (F.col("before") + F.col("within") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard")
