@@ -5,7 +5,9 @@ bits at least, so the walk over pairs of trie nodes is dealt out as 4 x 65,536 s
 fingerprints rotated so that block r comes first, below each value of that block, where the walk has spent
 nothing of its budget. Within them node pairs are walked level by level; the differing bits add up, and a
 pair whose sum exceeds the budget is cut off. Equal fingerprints are one leaf, so groups of copies cost
-nothing here, and a subtree returns a spanning forest of its links, never all pairs of a group.
+nothing here, and a subtree returns a spanning forest of its links, never all pairs of a group. A subtree of more than `HEAVY`
+fingerprints is dealt out once more in the same way: two of them that differ in at most 3 of the remaining 48 bits agree on one
+of four parts of 12 bits.
 
 Defined cases: a null text counts as empty; a text without words has fingerprint zero; texts of fewer than
 three words have one shingle; a null doc_id takes part, but a component is named by its least non-null id;
@@ -29,6 +31,8 @@ from catalith.llm.common import batches_of_documents, text_bytes, written
 from catalith.llm.components import components
 
 SHINGLE, SEED, BUDGET, BLOCK = 3, 42, 3, 16
+#: Bits of the parts into which the rest of a heavy subtree's fingerprints is cut, and when a subtree is heavy.
+PART, HEAVY = 12, 500_000
 #: Node pairs with so few fingerprint pairs are compared directly.
 LEAF_PAIRS = 48
 #: Fingerprints that one walk takes, more only if a subtree has more.
@@ -79,7 +83,7 @@ def majority(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
 
 def _fingerprint_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches_of_documents(batches):
-        yield pa.record_batch({"doc_id": batch.column("doc_id"), "fp": pa.array(fingerprints(batch.column("text").to_pylist()).view(np.int64))})
+        yield pa.record_batch({"doc_id": batch.column("doc_id").cast(pa.int64()), "fp": pa.array(fingerprints(batch.column("text").to_pylist()).view(np.int64))})
 
 
 def _unite(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -159,47 +163,74 @@ def _compare(values: np.ndarray, pairs: np.ndarray, sizes: np.ndarray, root: np.
     return root
 
 
-def _rotated(values: np.ndarray, r: int) -> np.ndarray:
-    s = np.uint64(BLOCK * r)
-    return values if not r else (values << s) | (values >> (np.uint64(64) - s))
+def _rotated(values: np.ndarray, by: int, width: int = 64) -> np.ndarray:
+    """The lowest `width` bits rotated to the left; the bits above stay."""
+    if not by % width:
+        return values
+    low = values & np.uint64(2**width - 1)
+    turned = ((low << np.uint64(by)) | (low >> np.uint64(width - by))) & np.uint64(2**width - 1)
+    return turned | (values ^ low)
+
+
+def _turned(values: np.ndarray, r: int, part: int) -> np.ndarray:
+    """Block r first, then, in a heavy subtree, the part; part -1: the subtree is whole."""
+    values = _rotated(values, BLOCK * r)
+    return _rotated(values, PART * part, 64 - BLOCK) if part > 0 else values
+
+
+def _back(values: np.ndarray, r: int, part: int) -> np.ndarray:
+    values = _rotated(values, 64 - BLOCK - PART * part, 64 - BLOCK) if part > 0 else values
+    return _rotated(values, 64 - BLOCK * r) if r else values
+
+
+def _known(part: int) -> int:
+    """Leading bits on which a subtree's values agree."""
+    return BLOCK if part < 0 else BLOCK + PART
 
 
 def _subtree_links(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (r, fp) sorted by r and block; whole subtrees at a time."""
-    held: list[tuple[np.ndarray, np.ndarray]] = []
+    """Rows (r, part, fp) sorted by subtree; whole subtrees at a time."""
+    held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
-    def walk(r: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
-        for k in range(64 // BLOCK):
-            values = np.sort(_rotated(fp[r == k], k))
-            root = trie_links(values)
+    def walk(r: np.ndarray, part: np.ndarray, fp: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for k, p in sorted(set(zip(r.tolist(), part.tolist(), strict=True))):
+            values = np.sort(_turned(fp[(r == k) & (part == p)], k, p))
+            root = trie_links(values, _known(p))
             moved = np.flatnonzero(root != np.arange(len(root)))
             if len(moved):
-                back = lambda x, k=k: _rotated(x, (64 // BLOCK - k) % (64 // BLOCK)).view(np.int64)
-                yield pa.record_batch({"a": pa.array(back(values[moved])), "b": pa.array(back(values[root[moved]]))})
+                yield pa.record_batch({c: pa.array(_back(values[at], k, p).view(np.int64)) for c, at in (("a", moved), ("b", root[moved]))})
 
     for batch in batches:
-        held.append((batch.column("r").to_numpy(zero_copy_only=False), batch.column("fp").to_numpy().view(np.uint64)))
-        if sum(len(x) for x, _ in held) >= CHUNK:
-            r, fp = (np.concatenate(x) for x in zip(*held, strict=True))
-            last = (r == r[-1]) & (_rotated_top(fp, int(r[-1])) == _rotated_top(fp[-1:], int(r[-1])))
+        held.append((batch.column("r").to_numpy(), batch.column("part").to_numpy(), batch.column("fp").to_numpy().view(np.uint64)))
+        if sum(len(x[0]) for x in held) >= CHUNK:
+            r, part, fp = (np.concatenate(x) for x in zip(*held, strict=True))
+            k, p = int(r[-1]), int(part[-1])
+            top = _turned(fp, k, p) >> np.uint64(64 - _known(p))
+            last = (r == k) & (part == p) & (top == top[-1])
             cut = int(np.argmax(last))  # the last subtree may go on in the next batch
-            held = [(r[cut:], fp[cut:])]
+            held = [(r[cut:], part[cut:], fp[cut:])]
             if cut:
-                yield from walk(r[:cut], fp[:cut])
+                yield from walk(r[:cut], part[:cut], fp[:cut])
     if held:
         yield from walk(*(np.concatenate(x) for x in zip(*held, strict=True)))
 
 
-def _rotated_top(fp: np.ndarray, r: int) -> np.ndarray:
-    return _rotated(fp, r) >> np.uint64(64 - BLOCK)
-
-
-def links(distinct: DataFrame) -> DataFrame:
+def links(distinct: DataFrame, heavy: int = HEAVY) -> DataFrame:
     """(a, b): links that span the components of the distinct fingerprints `fp`."""
-    block = lambda r: F.shiftrightunsigned("fp", 64 - BLOCK * (r + 1)).bitwiseAND(2**BLOCK - 1)
+    block = lambda r: F.shiftrightunsigned("fp", 64 - BLOCK * (r + 1)).bitwiseAND(2**BLOCK - 1).cast("int")
     dealt = distinct.select("fp", F.explode(F.array(*[F.struct(F.lit(r).alias("r"), block(r).alias("block")) for r in range(64 // BLOCK)])).alias("at"))
-    dealt = dealt.select("at.r", "at.block", "fp").repartition("r", "block").sortWithinPartitions("r", "block")
-    return dealt.select("r", "fp").mapInArrow(_subtree_links, "a long, b long")
+    dealt = dealt.select("at.r", "at.block", "fp")
+    crowded = dealt.groupBy("r", "block").count().filter(F.col("count") > heavy).select("r", "block", F.lit(True).alias("heavy"))
+    dealt = dealt.join(F.broadcast(crowded), ["r", "block"], "left")  # at most 4 * 65,536 subtrees in all
+    # a heavy subtree's fingerprints go to a part each, by 12 of the 48 bits that follow their block
+    turned = lambda r: F.col("fp") if not r else F.call_function("shiftleft", F.col("fp"), F.lit(BLOCK * r)).bitwiseOR(F.shiftrightunsigned("fp", 64 - BLOCK * r))
+    whole = F.when(F.col("r") == 0, turned(0)).when(F.col("r") == 1, turned(1)).when(F.col("r") == 2, turned(2)).otherwise(turned(3))
+    bits = lambda p: F.shiftrightunsigned(whole, 64 - BLOCK - PART * (p + 1)).bitwiseAND(2**PART - 1).cast("int")
+    parts = F.array(*[F.struct(F.lit(p).alias("part"), bits(p).alias("bits")) for p in range((64 - BLOCK) // PART)])
+    split = F.when(F.col("heavy"), parts).otherwise(F.array(F.struct(F.lit(-1).alias("part"), F.lit(0).alias("bits"))))
+    dealt = dealt.select("r", "block", "fp", F.explode(split).alias("s")).select("r", "block", "s.part", "s.bits", "fp")
+    dealt = dealt.repartition("r", "block", "part", "bits").sortWithinPartitions("r", "block", "part", "bits")
+    return dealt.select("r", "part", "fp").mapInArrow(_subtree_links, "a long, b long")
 
 
 def hexadecimal(fp: Column) -> Column:
@@ -219,7 +250,7 @@ def classes(docs: DataFrame) -> DataFrame:
 
 def rooted(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id, root) of every row; root tells components without any id apart."""
-    fps = written(docs.select("doc_id", text_bytes().alias("text")).mapInArrow(_fingerprint_rows, "doc_id long, fp long"), "fingerprints")
+    fps = written(docs.select("doc_id", text_bytes().alias("text")).mapInArrow(_fingerprint_rows, "doc_id long, fp long"), "prints")
     distinct = written(fps.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     roots = components(links(distinct))
     named = distinct.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
