@@ -1,17 +1,17 @@
 """Packing into sequences of at most `CAPACITY` tokens, by harmonic classes.
 
-Each document's ids are cut into full sequences, then into powers of two down to `GRAIN`, then into one rest
-shorter than `GRAIN`. A piece belongs to a reciprocal-capacity class k: its length is at most CAPACITY / k,
-and a bin of class k takes exactly k pieces. Pieces of a power of two fill their bins to the last token; rests
-are classed by their length rounded up to a multiple of `STEP`. Each task fills its own bins as its documents
-stream by, so there is no shuffle, and it holds fewer than k pieces of each class at a time. What a task has
-left at its end is joined end to end and cut once more, into full sequences and powers of two.
+A document of length L is of the reciprocal-capacity class k = CAPACITY // L, and a bin of class k takes exactly k of them, whole. What a
+full bin has free is filled with pieces cut from a document that was set apart for that: a document longer than CAPACITY, which must be cut
+anyway, or else, where `WAITING` full bins wait, the next document whatever its class. So most documents stay whole, and nearly every
+sequence is full. Each task fills its own bins as its documents stream by, so there is no shuffle, and it holds fewer than k documents of each
+class, `WAITING` bins and as many sequences' worth of documents to cut. What a task has left at its end is joined end to end and cut once more, into
+full sequences and powers of two.
 
 Sequences are padded to CAPACITY, but one whose length is a power of two is left as it is. A sequence's id is
 its task's number times 2**32 plus its number within the task, so ids are the same when a task is run again.
 
 Defined cases: a null or empty text is the closing id alone; repeated rows and null ids are packed like any
-other; an empty table gives an empty table; other columns are not looked at.
+other; an empty table gives an empty table; other columns are not looked at; doc_id may be of any integer type.
 """
 
 from __future__ import annotations
@@ -31,7 +31,9 @@ from pyspark.sql import functions as F
 
 from catalith.llm.common import batches_of_documents
 
-CAPACITY, GRAIN, STEP, END = 2048, 64, 8, 1
+CAPACITY, END = 2048, 1
+#: Full bins that wait for pieces before the next document is cut for them.
+WAITING = 64
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 #: Words that a worker's memo holds, and the longest it takes.
@@ -123,39 +125,63 @@ def encoder(path: str) -> WordEncoder:
     return _encoders[path]
 
 
-def cuts(tokens: int, capacity: int = CAPACITY, grain: int = GRAIN) -> list[int]:
-    """Lengths of a document's pieces, largest first."""
-    out = [capacity] * (tokens // capacity)
-    rest, size = tokens % capacity, capacity // 2
-    while size >= grain:
-        if rest >= size:
-            out.append(size)
-            rest -= size
-        size //= 2
-    return [*out, rest] if rest else out
-
-
-def class_of(length: int, capacity: int = CAPACITY, grain: int = GRAIN, step: int = STEP) -> int:
-    """How many pieces of that length a bin takes."""
-    return capacity // length if length >= grain else capacity // (-(-length // step) * step)
-
-
 class Bins:
     """Open bins of one worker. A piece is (doc_id, start, ids, doc_tokens)."""
 
-    def __init__(self, worker: int, capacity: int = CAPACITY):
-        self.capacity, self.next = capacity, worker << 32
+    def __init__(self, worker: int, capacity: int = CAPACITY, waiting: int = WAITING):
+        self.capacity, self.most, self.next = capacity, waiting, worker << 32
         self.open: dict[int, list[tuple]] = defaultdict(list)
+        self.waiting: list[tuple[list[tuple], int]] = []  # full bins and what they have free
+        self.spare: list[tuple] = []  # pieces of documents that may be cut
         self.rows: list[tuple] = []
 
     def add(self, doc_id, ids: bytes) -> None:
-        start, tokens = 0, len(ids) // 4
-        for length in cuts(tokens, self.capacity):
-            bin_ = self.open[k := class_of(length, self.capacity)]
-            bin_.append((doc_id, start, ids[4 * start : 4 * (start + length)], tokens))
-            start += length
-            if len(bin_) == k:
-                self._close(self.open.pop(k))
+        tokens = len(ids) // 4
+        piece = (doc_id, 0, ids, tokens)
+        if tokens > self.capacity or len(self.waiting) >= self.most:
+            self._cut(piece)
+            return
+        bin_ = self.open[k := self.capacity // tokens]
+        bin_.append(piece)
+        if len(bin_) == k:
+            self._full(self.open.pop(k))
+
+    def _full(self, bin_: list[tuple]) -> None:
+        """A bin with its number of documents: fill it up with what may be cut, or let it wait."""
+        free = self.capacity - sum(len(p[2]) // 4 for p in bin_)
+        while free and self.spare:
+            free -= self._fill(bin_, free)
+        if free:
+            self.waiting.append((bin_, free))
+        else:
+            self._close(bin_)
+
+    def _fill(self, bin_: list[tuple], free: int) -> int:
+        """Move at most `free` tokens of the spare document to a bin."""
+        doc_id, start, ids, tokens = self.spare.pop()
+        taken = min(free, len(ids) // 4)
+        bin_.append((doc_id, start, ids[: 4 * taken], tokens))
+        if 4 * taken < len(ids):
+            self.spare.append((doc_id, start + taken, ids[4 * taken :], tokens))
+        return taken
+
+    def _cut(self, piece: tuple) -> None:
+        """A document to cut: into waiting bins, then into sequences of its own; its rest waits for the next full bin."""
+        self.spare.append(piece)
+        while self.waiting and self.spare:
+            bin_, free = self.waiting.pop()
+            self._full(bin_)
+        while self.spare and len(self.spare[-1][2]) // 4 >= self.capacity:
+            self._own(self.capacity)
+        while sum(len(p[2]) for p in self.spare) // 4 >= self.most * self.capacity:
+            self._own(self.capacity)
+
+    def _own(self, free: int) -> None:
+        """A sequence of nothing but what may be cut."""
+        bin_: list[tuple] = []
+        while free:
+            free -= self._fill(bin_, free)
+        self._close(bin_)
 
     def _close(self, pieces: list[tuple]) -> None:
         offset = 0
@@ -165,26 +191,16 @@ class Bins:
         self.next += 1
 
     def finish(self) -> None:
-        """Cut what is left into full sequences and powers of two."""
-        left = [p for k in sorted(self.open) for p in self.open[k]]
+        """Join what is left end to end, and cut it into full sequences and powers of two."""
+        left = [*self.spare, *(p for bin_, _ in self.waiting for p in bin_), *(p for k in sorted(self.open) for p in self.open[k])]
         self.open.clear()
-        room = sum(len(p[2]) // 4 for p in left)
-        filled, at = [], 0
-        size = self.capacity
+        self.waiting, self.spare = [], left[::-1]
+        room, size = sum(len(p[2]) // 4 for p in left), self.capacity
         while room:
             while size > room:
                 size //= 2
-            doc_id, start, ids, tokens = left[at]
-            take = min(len(ids) // 4, size - sum(len(p[2]) // 4 for p in filled))
-            filled.append((doc_id, start, ids[: 4 * take], tokens))
-            if take == len(ids) // 4:
-                at += 1
-            else:
-                left[at] = (doc_id, start + take, ids[4 * take :], tokens)
-            if sum(len(p[2]) // 4 for p in filled) == size:
-                self._close(filled)
-                room -= size
-                filled = []
+            self._own(size)
+            room -= size
 
     def take(self) -> pa.RecordBatch:
         rows, self.rows = self.rows, []
