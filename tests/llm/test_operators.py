@@ -7,6 +7,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -64,11 +65,15 @@ def test_fingerprints_compose_and_collisions_are_found(spark, monkeypatch):
         d, n = d // 2, n + 1
     assert all(pow(a, d, exact_dedup.PRIME) == 1 or any(pow(a, d << i, exact_dedup.PRIME) == exact_dedup.PRIME - 1 for i in range(n)) for a in (2, 3, 5, 7, 11, 13, 17))
     assert exact_dedup.same(data, bytes(data), 100) and not exact_dedup.same(data, data[:-1] + b"!", 100)
-    marks = spark.createDataFrame([(1, b"k", 3, "a"), (2, b"k", 3, "b"), (3, b"k", 3, "a")], exact_dedup.MARKS)
-    rows = spark.createDataFrame([(1, "aaa"), (2, "bbb"), (3, "aaa")], "doc_id long, text string").select("doc_id", F.col("text").cast("binary").alias("text"))
-    real = {t: exact_dedup.fingerprint(t.encode())[0].to_bytes(13, "big") for t in ("aaa", "bbb")}
-    marks = spark.createDataFrame([(1, real["aaa"], 3, "a"), (2, real["aaa"], 3, "b"), (3, real["aaa"], 3, "a")], exact_dedup.MARKS)
-    assert exact_dedup.collisions(rows.filter("doc_id <> 2"), marks).count() == 0
+    rows = exact_dedup.numbered(spark.createDataFrame([(1, "aaa"), (2, "bbb"), (None, "aaa"), (None, "ccc")], "doc_id long, text string"))
+    monkeypatch.setattr(exact_dedup, "fingerprint", lambda text, chunk=0: (7, 3))  # all texts collide, in the driver's process only
+    marks = spark.createDataFrame([(r["at"], r["doc_id"], (7).to_bytes(13, "big"), 3, "x") for r in rows.collect()], exact_dedup.MARKS)
+    real = spark.createDataFrame([(r["at"], r["doc_id"], exact_dedup.chunk_hash(bytes(r["text"]))[0].to_bytes(13, "big"), 3, "x") for r in rows.collect()], exact_dedup.MARKS)
+    assert exact_dedup.collisions(rows, real).count() == 0
+    batches = [b for b in rows.selectExpr("at", "cast(null as binary) as fp", "3L as size", "0 as salt", "text").toArrow().to_batches()]
+    fixed = [b.set_column(1, "fp", pa.array([(7).to_bytes(13, "big")] * b.num_rows, pa.binary())) for b in batches]
+    apart = sum(out.num_rows for out in exact_dedup._differing_rows(iter([pa.concat_batches(fixed)])))
+    assert apart == 2 and marks.count() == 4  # the two that differ from the first
 
 
 def plain_removal(texts):
@@ -97,9 +102,10 @@ def test_substring_index_takes_batches_in_any_order(spark):
     batches = [[(9, words(30, 7)), (5, words(40, 8))], [(7, words(30, 8) + " " + words(20, 9))], [(1, words(40, 8)), (2, words(25, 7))]]
     index = substring_dedup.SubstringIndex(spark, 3, 2)
     frames = [spark.createDataFrame(b, "doc_id long, text string") for b in batches]
-    shared = [index.add(f) for f in frames]
-    everything, found = frames[0].unionByName(frames[1]).unionByName(frames[2]), shared[0].unionByName(shared[1]).unionByName(shared[2])
-    out = substring_dedup.strip(everything, substring_dedup.verify(everything, found, 3)).withColumn("kept", F.col("kept").cast("string"))
+    for f in frames:
+        index.add(f)
+    everything = frames[0].unionByName(frames[1]).unionByName(frames[2])
+    out = substring_dedup.strip(everything, substring_dedup.verify(everything, index.shared(), 3)).withColumn("kept", F.col("kept").cast("string"))
     same_rows(out, [(i, n, r, k.decode()) for i, n, r, k in plain_removal([x for b in batches for x in b])])
 
 
@@ -196,11 +202,30 @@ def test_packing(docs, texts, none):
     assert packing.pack(none, path).count() == 0
 
 
-def test_cuts_cover_every_length():
-    for n in range(1, 6_000):
-        parts = packing.cuts(n)
-        assert sum(parts) == n and all(p <= packing.CAPACITY and (p < packing.GRAIN or p & (p - 1) == 0) for p in parts)
-        assert all(packing.class_of(p) * p <= packing.CAPACITY for p in parts)
+def test_bins_keep_most_documents_whole():
+    rng = random.Random(8)
+    lengths = [rng.choice([1, 3, 40, 700, 1_030, 2_048, rng.randrange(1, 2_048), rng.randrange(1, 9_000)]) for _ in range(3_000)]
+    for sizes in (lengths, [5_000] * 300, [1_500] * 400, [1] * 5_000, [2_048] * 9, [1], []):
+        bins, rows, held = packing.Bins(3), [], 0
+        for i, n in enumerate(sizes):
+            bins.add(i, b"\1\0\0\0" * n)
+            rows += bins.rows
+            bins.rows = []
+            held = max(held, sum(len(p[2]) for p in bins.spare) // 4)
+        bins.finish()
+        rows += bins.rows
+        assert held <= (packing.WAITING + 5) * packing.CAPACITY
+        used, pieces, at = collections.Counter(), collections.Counter(), collections.defaultdict(int)
+        for i, start, n, _, tokens, sequence, offset in rows:
+            assert tokens == sizes[i] and start == pieces[i] and offset == at[sequence] and n > 0
+            pieces[i] += n
+            at[sequence] += n
+            used[i] += 1
+        assert pieces == collections.Counter(dict(enumerate(sizes))) and all(n <= 2_048 for n in at.values())
+        assert sum(n != 2_048 for n in at.values()) <= 11 and all(n == 2_048 or n & (n - 1) == 0 for n in at.values())
+        if sizes is lengths:
+            fit = [i for i, n in enumerate(sizes) if n <= 2_048]
+            assert sum(used[i] > 1 for i in fit) < len(fit) / 10
 
 
 def plain_capacity(sizes, shards):
