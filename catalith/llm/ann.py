@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 
 from catalith.llm.common import mix, written
 
-PROJECTIONS, THRESHOLD, GROWTH, RESERVE, REACH = 128, 0.5, 1.12, 1.5, 2.2
+PROJECTIONS, THRESHOLD, GROWTH, RESERVE, REACH = 128, 0.5, 1.4, 1.5, 2.2
 BLOCK_ROWS, QUERY_ROWS, SEED = 16_384, 1_024, 7
 #: Ranges of the first direction, as the driver and each task hold their bounds.
 MOST_RANGES = 4_096
