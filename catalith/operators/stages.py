@@ -8,6 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from catalith.functions import fixed_values as V
 from catalith.functions.measure import dimensions, measure_text
 from catalith.functions.similarity import weighted_column
 from catalith.functions.text import clean, folded, slug, title_case, truncate_clean
@@ -15,11 +16,7 @@ from catalith.operators import retrieval
 from catalith.operators.registry import Registry
 from catalith.operators.resolve import candidates, resolve
 
-#: Weights of the parts of a record's confidence; parts that it lacks do not count.
-WEIGHTS = {"classpath": 0.25, "brand_name": 0.20, "manufacturer_name": 0.10, "attributes": 0.25, "product_name": 0.10, "long_desc": 0.05, "mobile_desc": 0.05}
 REVIEW_BELOW, SEVERE_MOST = 0.65, 3
-SEVERE_WORDS = ["missing", "mismatch", "outside"]
-MEASURES = ["length", "width", "height", "depth", "diameter", "thickness", "dimension", "size", "weight", "voltage", "capacity"]
 
 
 def is_holdout(part_number: Column, ratio: float = 0.3) -> Column:
@@ -126,7 +123,7 @@ def resolve_attributes(wanted: DataFrame, extracted: DataFrame, evidence: DataFr
     ]
     value = _cascade([(k[0], k[1]) for k in kinds], F.lit(None).cast("string"))
     measure = F.lit(False)
-    for hint in MEASURES:
+    for hint in V.MEASURES:
         measure = measure | F.col("label_key").contains(hint)
     out = out.select("row_id", "slot", "label", value.alias("value"), _cascade([(k[0], k[2]) for k in kinds], F.lit(0.0)).alias("confidence"), _cascade([(k[0], k[3]) for k in kinds], F.lit("unfilled")).alias("source"), F.coalesce(F.nullif("m_uom", F.lit("")), F.when(value.isNotNull(), F.col("usual"))).alias("uom"), measure.alias("measure"))
     plain = F.when(~F.col("value").rlike(r"\d") & (F.lower("value") == F.col("value")) & (F.upper("value") != F.col("value")), title_case(F.col("value"))).otherwise(F.col("value"))
@@ -183,10 +180,10 @@ def validate(rows: DataFrame, makers: DataFrame) -> DataFrame:
 
 def overall(confidence: Column, found: Column) -> Column:
     """O-151. struct(overall, needs_review): the weighted mean of the parts that a record has, less 0.08 for each severe issue, by 0.6 at most."""
-    weights = F.create_map(*[x for k, v in WEIGHTS.items() for x in (F.lit(k), F.lit(v))])
+    weights = F.create_map(*[x for k, v in V.WEIGHTS.items() for x in (F.lit(k), F.lit(v))])
     present = F.map_filter(weights, lambda k, v: F.map_contains_key(confidence, k))
     total = F.aggregate(F.map_entries(present), F.lit(0.0), lambda a, e: a + e["value"] * F.try_element_at(confidence, e["key"]))
     weight = F.aggregate(F.map_values(present), F.lit(0.0), lambda a, v: a + v)
-    severe = F.size(F.filter(found, lambda i: i.rlike("|".join(SEVERE_WORDS))))
+    severe = F.size(F.filter(found, lambda i: i.rlike("|".join(V.SEVERE_WORDS))))
     score = F.when(weight > 0, total / weight).otherwise(0.0) * F.greatest(F.lit(0.4), 1.0 - 0.08 * severe)
     return F.struct(F.bround(score, 3).alias("overall"), ((score < REVIEW_BELOW) | (severe >= SEVERE_MOST)).alias("needs_review"))

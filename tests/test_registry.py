@@ -60,11 +60,14 @@ def test_safe_match(spark, key, match):
     assert [r.match for r in found] == ([match] if match else ["ge"] if key == "ge" else [])
 
 
-def test_spellings_of_a_label():
-    found = Y.spellings("Number of Wash Cycles")
-    assert found[0] == "Number of Wash Cycles" and found[-1] == "" and "Wash" in found and "NoWC".upper() in [f.upper() for f in found]
-    assert Y.spellings("") == [""]
-    assert "Mounting" in Y.spellings("Mounting Type")
+def test_spellings_of_a_label(spark):
+    rows = [("Number of Wash Cycles",), ("",), (None,), ("Mounting Type",), ("Finish",), ("Box / Size",)]
+    got = {r.label: r.s for r in spark.createDataFrame(rows, "label string").select("label", Y.spellings(F.col("label")).alias("s")).collect()}
+    found = got["Number of Wash Cycles"]
+    assert found[:3] == ["Number of Wash Cycles", "Number of Wash Cycl", "Number of Wash Cycleses"] and found[-2:] == ["NOWC", ""] and "Wash" in found
+    assert got[""] == got[None] == [""]
+    assert got["Mounting Type"] == ["Mounting", "Mounting Type", "Mounting Types", "Mountings", "Type", "Types", "MT", ""]
+    assert got["Finish"] == ["Finish", "Finishes", "F", ""] and "Box" in got["Box / Size"] and "Boxes" in got["Box / Size"]
 
 
 def test_values_are_located_with_their_labels(spark):
