@@ -8,6 +8,7 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def common_length(a: str, b: str) -> int:
@@ -114,3 +115,21 @@ def token_set_column(a: Column, b: Column) -> Column:
 
 def weighted_column(a: Column, b: Column) -> Column:
     return _scorer(weighted_ratio)(a, b)
+
+
+BEST = T.StructType([T.StructField("choice", T.StringType()), T.StructField("score", T.DoubleType())])
+
+
+def best_choice(c: Column, choices: list[str], score=weighted_ratio) -> Column:
+    """O-075. struct(choice, score) of the choice that scores highest, the first one among equals; null without choices or for null. choices: a vocabulary of known size, which goes to every worker."""
+
+    def one(text: str | None) -> tuple[str, float] | None:
+        found = [score(text, x) for x in choices] if text is not None else []
+        return (choices[at], found[at]) if found and (at := max(range(len(found)), key=found.__getitem__)) >= 0 else None
+
+    @F.pandas_udf(BEST)
+    def each(texts: pd.Series) -> pd.DataFrame:
+        known = {t: one(t) for t in texts.unique()}
+        return pd.DataFrame([known[t] or (None, None) for t in texts], columns=["choice", "score"])
+
+    return F.when(c.isNotNull(), each(c)) if choices else F.lit(None).cast(BEST)

@@ -6,6 +6,9 @@ does so by the sizes it sees. Candidates travel as arrays of one key.
 
 from __future__ import annotations
 
+import math
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -44,12 +47,14 @@ def candidates(rows: DataFrame, triples: DataFrame) -> DataFrame:
 
 
 def by_prefix(rows: DataFrame, prefixes: DataFrame, mpn: str = "mpn", key: str = "row_id") -> DataFrame:
-    """O-092. (key, brand, prefix): the brand of the longest known prefix of 2 to 5 characters of a part number."""
-    stem = stem_of(F.col(mpn))
-    tries = rows.select(key, stem.alias("stem")).filter("length(stem) >= 2")
-    tries = tries.select(key, F.explode(F.transform(F.sequence(F.lit(2), F.least(F.lit(5), F.length("stem"))), lambda n: F.substring(F.col("stem"), F.lit(1), n))).alias("prefix"))
-    hits = tries.join(prefixes.select(F.col("key").alias("prefix"), "brand"), "prefix")
-    return hits.groupBy(key).agg(F.max_by(F.struct("brand", "prefix"), F.length("prefix")).alias("h")).select(key, "h.*")
+    """O-092. (key, brand, prefix): the brand of the longest known prefix of 2 to 5 characters of a part number. A lookup for each length, so rows are
+    neither multiplied nor brought together again."""
+    out = rows.select(key, stem_of(F.col(mpn)).alias("_stem"))
+    lengths = (5, 4, 3, 2)
+    for n in lengths:
+        of_length = prefixes.filter(F.length("key") == n).select(F.col("key").alias(f"_p{n}"), F.struct("brand", F.col("key").alias("prefix")).alias(f"_h{n}"))
+        out = out.withColumn(f"_p{n}", F.substring("_stem", 1, n)).join(of_length, f"_p{n}", "left")
+    return out.select(key, F.coalesce(*[F.col(f"_h{n}") for n in lengths]).alias("h")).filter("h is not null").select(key, "h.*")
 
 
 def by_token(rows: DataFrame, tokens: DataFrame, description: str = "description", key: str = "row_id") -> DataFrame:
@@ -59,12 +64,39 @@ def by_token(rows: DataFrame, tokens: DataFrame, description: str = "description
     return hits.groupBy(key).agg(F.min_by(F.struct("brand", "token"), "at").alias("h")).select(key, "h.*")
 
 
+def sorted_words(c: Column) -> Column:
+    return F.array_join(F.array_sort(F.filter(F.split(c, " "), lambda w: w != "")), " ")
+
+
+def close_pairs(left: DataFrame, right: DataFrame, floor: float, form: Callable[[Column], Column] = lambda c: c, size: int = 2) -> DataFrame:
+    """(key, match): all pairs of left.key and right.match that may score `floor` at least by `ratio`, of what `form` makes of them, and others.
+
+    At that score a name of n letters keeps a common part of share s = floor / 200 of both lengths, so its partner has n * s / (1 - s) to n * (1 - s) / s letters, and it
+    loses n * (1 - s / (1 - s)) letters at most. Each lost letter breaks `size` of its grams, so among its rarest ones, more than that many by their number, one at least is its partner's.
+    Names meet by such a gram and the partner's length, so a common gram is met by those names alone that have none but common ones. A size at which a name could lose all its grams is an error."""
+    s = floor / 200
+    keep = s / (1 - s)
+    if any(n - size + 1 <= math.floor(n * (1 - keep) * size + 1e-6) for n in range(size, 1_000)) or any(math.floor(n / keep + 1e-6) > n for n in range(1, size)):
+        raise ValueError(f"names at {floor} may share no gram of {size} letters")
+    grams = lambda c: F.when(F.length(c) >= size, F.transform(F.sequence(F.lit(1), F.length(c) - size + 1), lambda i: F.substring(c, i, F.lit(size)))).otherwise(F.array(c))
+    names = right.select("match", form(F.col("match")).alias("_m")).filter("_m <> ''")
+    theirs = names.select("match", F.length("_m").alias("length"), F.explode(F.array_distinct(grams(F.col("_m")))).alias("gram"))
+    often = theirs.groupBy("gram").agg(F.count("*").alias("often"))
+    asked = left.select("key", form(F.col("key")).alias("_k")).filter("_k <> ''").distinct()
+    own = asked.select("key", F.length("_k").alias("n"), F.explode(grams(F.col("_k"))).alias("gram")).groupBy("key", "n", "gram").agg(F.count("*").alias("times"))
+    own = own.join(often, "gram", "left").withColumn("often", F.coalesce("often", F.lit(0)))
+    before = Window.partitionBy("key").orderBy("often", "gram").rowsBetween(Window.unboundedPreceding, -1)
+    lost = F.floor(F.col("n") * (1 - keep) * size + 1e-6)
+    rare = own.withColumn("before", F.coalesce(F.sum("times").over(before), F.lit(0))).filter((F.col("before") <= lost) & (F.col("often") > 0))
+    spans = F.sequence(F.ceil(F.col("n") * keep - 1e-6).cast("int"), F.floor(F.col("n") / keep + 1e-6).cast("int"))
+    return rare.select("key", "gram", F.explode(spans).alias("length")).join(theirs, ["gram", "length"]).select("key", "match").distinct()
+
+
 def safe_match(keys: DataFrame, table: DataFrame) -> DataFrame:
     """O-076. (key, match) of `keys.key` in `table.key`: up to three characters only exact; then the longest name of six characters or more
     that one is a whole-word beginning of the other; then the most similar of comparable length, at 88 or more.
 
-    Pairs are not all compared: prefixes meet by equal keys, and similar ones must share a gram. Two names of over three characters at 88
-    share 0.88 of their letters in order, so a run of two letters at least, which the gram join finds."""
+    Pairs are not all compared: prefixes meet by equal keys, similar names by their rarest grams (`close_pairs`), once as they stand and once with their words in order."""
     keys = keys.select("key").filter("key <> ''").distinct()
     exact = keys.join(table.select("key").distinct(), "key").filter(F.length("key") <= SHORT).select("key", F.col("key").alias("match"))
     long = keys.filter(F.length("key") > SHORT)
@@ -75,11 +107,9 @@ def safe_match(keys: DataFrame, table: DataFrame) -> DataFrame:
     prefix = down.select("key", "match").unionByName(up.select("key", "match")).filter(F.length("match") >= PREFIX_LEAST)
     prefix = prefix.groupBy("key").agg(F.max_by("match", F.struct(F.length("match"), "match")).alias("match"))
     rest = long.join(prefix, "key", "left_anti")
-    two = lambda c: F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(c) - 1), lambda i: F.substring(c, i, F.lit(2)))))
-    pairs = rest.select("key", two(F.col("key")).alias("g")).join(names.filter(F.length("match") > 1).select("match", two(F.col("match")).alias("g")), "g").select("key", "match").distinct()
+    pairs = close_pairs(rest, names, FLOOR).unionByName(close_pairs(rest, names, FLOOR, sorted_words)).distinct()
     a, b = F.col("key"), F.col("match")
     pairs = pairs.filter(F.least(F.length(a), F.length(b)) / F.greatest(F.length(a), F.length(b)) >= LENGTHS)
-    # the common letters of two names are at most those they share in any order: a cheap bound before the kernel
     pairs = pairs.withColumn("score", F.greatest(ratio_column(a, b), token_sort_column(a, b))).filter(F.col("score") >= FLOOR)
     fuzzy = pairs.groupBy("key").agg(F.max_by("match", F.struct("score", "match")).alias("match"))
     return exact.unionByName(prefix).unionByName(fuzzy)
@@ -153,8 +183,10 @@ def template_for(rows: DataFrame, templates: DataFrame, leaves: DataFrame, path:
     out = rows.withColumn("leaf", F.trim(F.element_at(F.split(path, ">"), -1))).join(own, path, "left").join(leaf, "leaf", "left")
     lost = out.filter("_own is null and _leaf is null").select(F.col(path).alias("_p")).distinct()
     word = lambda c: F.explode(F.array_distinct(F.split(c, " ")))
-    # token sets that score 70 share a word, or are nearly one word each; blocks by word keep this off a cross join
-    pairs = lost.select("_p", word(F.col("_p")).alias("w")).join(templates.select("classpath", word(F.col("classpath")).alias("w")), "w").select("_p", "classpath").distinct()
+    # token sets that score 70 share a word, or else are as similar as their words in order, which share their rarest letters
+    by_word = lost.select("_p", word(F.col("_p")).alias("w")).join(templates.select("classpath", word(F.col("classpath")).alias("w")), "w").select("_p", "classpath")
+    by_letter = close_pairs(lost.select(F.col("_p").alias("key")), templates.select(F.col("classpath").alias("match")), TEMPLATE_FLOOR, sorted_words, 1)
+    pairs = by_word.unionByName(by_letter.toDF("_p", "classpath")).distinct()
     best = pairs.withColumn("score", token_set_column(F.col("_p"), F.col("classpath"))).filter(F.col("score") >= TEMPLATE_FLOOR)
     best = best.groupBy("_p").agg(F.max_by("classpath", F.struct("score", "classpath")).alias("classpath")).join(templates, "classpath").select(F.col("_p").alias(path), F.col("labels").alias("_near"))
     return out.join(best, path, "left").select(*rows.columns, F.coalesce("_own", "_leaf", "_near", F.array().cast("array<string>")).alias("labels"))

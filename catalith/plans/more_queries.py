@@ -52,7 +52,7 @@ _FLAT = "Flag,Status,Size"
 
 def _votes(s, d):
     """Neighbours out of events: each user is a query, each event a neighbour that votes for its type."""
-    e = _t("events")(s, d).select(F.col("user_id").alias("query_id"), F.col("event_type").alias("classpath"), F.bround(F.abs("value") / 1000, 6).alias("score"), F.col("event_id").alias("row_id"), F.col("event_type").alias("product_name"))
+    e = _t("events")(s, d).select(F.col("user_id").alias("query_id"), F.col("event_type").alias("classpath"), F.bround(F.abs("value") / 1000, 6).alias("score"), F.col("event_id").alias("row_id"), F.concat_ws("-", "event_type", (F.col("event_id") % 3).cast("string")).alias("product_name"))
     from pyspark.sql import Window
 
     return e.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("score"), "row_id")))
@@ -70,11 +70,11 @@ _O = "o AS (SELECT DISTINCT query_id, classpath FROM e WHERE row_id % 2 = 0)"
 
 
 def _order(s, d):
-    """Labels 1 to 5 of each order in slots; odd ones are learned, in reverse rank; of the others the third is left out."""
+    """Labels 1 to 5 of each order in slots; odd ones are learned, in reverse rank; of the others the third is left out. Odd orders have a path without a style of its own."""
     base = _t("orders")(s, d).select(F.col("o_orderkey").alias("row_id")).withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(4))))
     learned = F.col("slot") % 2 == 1
     style = F.struct(F.when(learned, 0.9).when(F.col("slot") == 2, 0.1).alias("inclusion"), F.when(learned, (10 - F.col("slot")).cast("double")).alias("rank"))
-    rows = base.select("row_id", F.lit("long").alias("surface"), "slot", F.concat(F.lit("l"), F.col("slot").cast("string")).alias("label_key"), F.lit(True).alias("specific"), style.alias("style"))
+    rows = base.select("row_id", F.lit("long").alias("surface"), "slot", F.concat(F.lit("l"), F.col("slot").cast("string")).alias("label_key"), (F.col("row_id") % 2 == 0).alias("specific"), style.alias("style"))
     out = Y.build_order(rows)
     return out.groupBy("row_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("position", "slot", "label_key"))), lambda x: x["label_key"]), ",").alias("labels"))
 
@@ -126,6 +126,17 @@ def _cut_links(s, d):
     return E.documents_to_read(p).select("part_number", F.col("at").alias("page_id"), "rank")
 
 
+_CONTEXT = f"""
+    WITH {_BUNDLE}, d AS (SELECT *, count(*) OVER w AS docs, bool_or(role <> 'user') OVER w AS own, first_value(role) OVER (PARTITION BY conv_id ORDER BY place) AS best FROM b WINDOW w AS (PARTITION BY conv_id)),
+    k AS (SELECT *, CASE WHEN own THEN 'MANUFACTURER SPECIFICATIONS' ELSE 'THIRD-PARTY SPECIFICATIONS (not from the manufacturer)' END || ':' || chr(10) || '  Role: ' || best AS block FROM d),
+    r AS (SELECT *, 3500 - length(block) AS room, greatest(300, (3500 - length(block)) // docs) AS share FROM k),
+    t AS (SELECT *, coalesce(sum(least(length(text), share)) OVER (PARTITION BY conv_id ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS taken FROM r),
+    o AS (SELECT *, min(CASE WHEN room - taken <= 200 OR text = '' THEN place END) OVER (PARTITION BY conv_id) AS stop FROM t),
+    p AS (SELECT conv_id, place, block, CASE WHEN stop IS NULL OR place < stop THEN '[' || CASE WHEN role = 'user' THEN 'THIRD-PARTY ' ELSE '' END || kind || '] SOURCE: ' || url || chr(10) || substr(text, 1, least(share, room - taken)::BIGINT) END AS part FROM o),
+    z AS (SELECT conv_id, any_value(block) || coalesce(string_agg(chr(10) || chr(10) || '---' || chr(10) || chr(10) || part, '' ORDER BY place) FILTER (part IS NOT NULL), '') AS context FROM p GROUP BY conv_id)
+    SELECT conv_id AS part_number, length(context) AS size, sha256(context) AS digest FROM z"""
+
+
 QUERIES = {
     "o034_abbreviate": _cases(lambda c: X.abbreviate(c, X.literal_map({"cover": "CVR", "steel": "STL"})), [("Steel Cover, plate", "STL CVR plate"), ("x", "x"), ("COVER", "CVR")]),
     "o050_plausible_abbreviation": (lambda s, d: _frame(s, "word string, short string", [("SURFACE", "SURF"), ("FIRST", "FT"), ("12000", "120"), ("STEEL", "STEE"), ("COVER", "CVR")]).select("word", "short", X.plausible_abbreviation(F.col("word"), F.col("short")).alias("out")), "SELECT * FROM (VALUES ('SURFACE', 'SURF', true), ('FIRST', 'FT', false), ('12000', '120', false), ('STEEL', 'STEE', true), ('COVER', 'CVR', true)) AS t(word, short, out)"),
@@ -138,21 +149,21 @@ QUERIES = {
     "o096_canonical_brand": (_canonical, f"WITH {OBS} SELECT row_id, brand AS approved FROM obs"),
     "o101_template_lookup": (_template, f"WITH {OBS} SELECT row_id, '{_FLAT}' AS labels FROM obs WHERE fine = '7'"),
     "o102_header_difference": (lambda s, d: J.header_difference(["a", "c", "b", "x"], ["a", "b", "c", "d"], prepare(s)).select("header", "problem"), "SELECT * FROM (VALUES ('c', 'misordered'), ('b', 'misordered'), ('x', 'added'), ('d', 'missing')) AS t(header, problem)"),
-    "o116_asset_prefix": (lambda s, d: _t("part")(s, d).select("p_partkey", R.asset_prefix(F.concat(F.lit("Acme_Tools_"), F.replace("p_name", F.lit(" "), F.lit("_")), F.lit("_1.jpg")), F.col("p_name")).alias("prefix")), "SELECT p_partkey, 'Acme_Tools' AS prefix FROM part"),
+    "o116_asset_prefix": (lambda s, d: _t("part")(s, d).select("p_partkey", R.asset_prefix(F.concat(F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit("__"), F.when(F.col("p_partkey") % 3 > 0, F.upper(F.replace("p_name", F.lit(" "), F.lit("_")))).otherwise("other"), F.lit("_1.jpg")), F.col("p_name")).alias("prefix")), "SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN replace(p_brand, '#', '_') ELSE '' END AS prefix FROM part"),
     "o118_average_style": (lambda s, d: Y.average(_t("part")(s, d).select(F.col("p_type").alias("classpath"), F.lit("long").alias("surface"), F.col("p_brand").alias("label_key"), F.lit(" ").alias("separator"), F.when(F.col("p_partkey") % 5 > 0, "Kit").otherwise("Set").alias("suffix"), (F.col("p_size") / 100).alias("inclusion"), F.col("p_size").cast("double").alias("rank"), F.lit(1).alias("rows"))).select("label_key", "rank", "inclusion"), "SELECT p_brand AS label_key, median(p_size)::DOUBLE AS rank, round_even(avg(p_size / 100), 3) AS inclusion FROM part GROUP BY 1"),
     "o121_candidate_votes": (lambda s, d: retrieval.rank_candidates(_votes(s, d), _options(s, d)).select("query_id", "classpath", F.bround("votes", 5).alias("votes")), f"WITH {_E}, {_O} SELECT query_id, classpath, round_even(sum(score), 5) AS votes FROM e JOIN o USING (query_id, classpath) GROUP BY ALL"),
     "o122_decide": (lambda s, d: retrieval.decide(_votes(s, d), _options(s, d), 0.01), f"WITH {_E}, {_O}, n AS (SELECT * FROM e JOIN o USING (query_id, classpath)), b AS (SELECT query_id, arg_min(classpath, rank) AS classpath, arg_min(score, rank) AS score FROM n GROUP BY 1), r AS (SELECT n.query_id, max(n.score) AS rival FROM n JOIN b USING (query_id) WHERE n.classpath <> b.classpath GROUP BY 1) SELECT b.query_id, b.classpath, b.score FROM b LEFT JOIN r USING (query_id) WHERE b.score >= 0.01 AND (rival IS NULL OR rival <= 0.95::DOUBLE * b.score)"),
-    "o123_modal_name": (lambda s, d: retrieval.modal_name(_votes(s, d), _options(s, d).groupBy("query_id").agg(F.min("classpath").alias("classpath"))), f"WITH {_E}, {_O} SELECT query_id, min(classpath) AS product_name FROM o GROUP BY 1"),
-    "o124_build_order": (_order, "SELECT o_orderkey AS row_id, 'l0,l3,l4,l1' AS labels FROM orders"),
+    "o123_modal_name": (lambda s, d: retrieval.modal_name(_votes(s, d), _options(s, d).groupBy("query_id").agg(F.min("classpath").alias("classpath"))), f"WITH {_E}, {_O}, m AS (SELECT query_id, min(classpath) AS classpath FROM o GROUP BY 1), n AS (SELECT query_id, classpath || '-' || (row_id % 3) AS product_name, round(sum(score::DECIMAL(18, 6)), 6) AS votes, min(rank) AS seen FROM e JOIN m USING (query_id, classpath) GROUP BY ALL) SELECT query_id, product_name FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, seen) = 1"),
+    "o124_build_order": (_order, "SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 2 = 0 THEN 'l0,l3,l4,l1' ELSE 'l0,l1,l3,l4' END AS labels FROM orders"),
     "o130_documents_to_read": (_cut_links, "WITH p AS (SELECT page_id % 9 AS part_number, page_id, row_number() OVER (PARTITION BY page_id % 9 ORDER BY page_id % 2, page_id) AS rank FROM pages) SELECT * FROM p WHERE rank <= 2"),
     "o136_manufacturer_stage": (lambda s, d: (lambda t, h: S.manufacturer_stage(h.select("row_id", "supplier", "hints", "mpn", "description"), R.fit(t), h.select("row_id", F.lit("Nobody").alias("answer_brand"), F.lit(0.99).alias("answer_confidence"))).groupBy("provenance").agg(F.count("*").alias("n")))(*S.split(observations(s, d))), None),
     "o138_evidence_columns": (lambda s, d: E.columns_from_evidence(_frame(s, "column string, label string, priority int", [("R", "Role", 2), ("R", "None", 1)]), E.merged_tables(_bundle(s, d))).select("part_number", F.col("columns")["R"].alias("role")), f"WITH {_BUNDLE} SELECT conv_id AS part_number, arg_min(role, place) AS role FROM b GROUP BY 1"),
     "o140_attributes": (_attributes, None),
-    "o142_grounded": (lambda s, d: E.grounded(_bundle(s, d).filter("place = 1").select("part_number", F.lit("Role").alias("label"), F.col("tables")[0]["value"].alias("value"), F.lit(0.9).alias("confidence")), _bundle(s, d).withColumn("text", F.lit(""))).select("part_number", "confidence"), f"WITH {_BUNDLE} SELECT conv_id AS part_number, CASE WHEN arg_min(role, place) = 'user' THEN 0.9 ELSE 0.97 END::DOUBLE AS confidence FROM b GROUP BY 1"),
+    "o142_grounded": (lambda s, d: E.grounded(_bundle(s, d).select("part_number", F.col("url").alias("label"), F.element_at("tables", 1)["value"].alias("value"), F.lit(0.9).alias("confidence")), _bundle(s, d)).select("part_number", "label", "confidence"), f"WITH {_BUNDLE}, h AS (SELECT a.conv_id, a.url AS label, b.place, b.role FROM b a JOIN b USING (conv_id) WHERE contains(regexp_replace(replace(lower(b.text), 'ß', 'ss'), '[^a-z0-9]+', '', 'g'), a.role) OR contains(b.role, a.role)) SELECT conv_id AS part_number, label, CASE WHEN arg_min(role, place) = 'user' THEN 0.9 ELSE 0.97 END::DOUBLE AS confidence FROM h GROUP BY ALL"),
     "o144_approvals": (_approvals, _ROLES),
     "o149_source_stage": (_sourced, _SOURCED),
     "o150_validate": (_validated, f"WITH {OBS} SELECT row_id, 1 + (row_id % 5 = 0)::INT + (row_id % 3 = 0)::INT + (row_id % 2 = 0)::INT AS issues, 'short' AS mobile_desc FROM obs"),
-    "o153_prompt_context": (lambda s, d: E.prompt_context(_bundle(s, d).filter("place = 1").withColumn("text", F.lit("tt"))).select("part_number", F.length("context").alias("size")), f"WITH {_BUNDLE}, f AS (SELECT * FROM b WHERE place = 1) SELECT conv_id AS part_number, length(CASE WHEN role = 'user' THEN 'THIRD-PARTY SPECIFICATIONS (not from the manufacturer)' ELSE 'MANUFACTURER SPECIFICATIONS' END) + length(':' || chr(10) || '  Role: ' || role) + 7 + length(CASE WHEN role = 'user' THEN 'THIRD-PARTY ' ELSE '' END || '[' || kind || '] SOURCE: ' || url || chr(10) || 'tt') AS size FROM f"),
+    "o153_prompt_context": (lambda s, d: E.prompt_context(_bundle(s, d)).select("part_number", F.length("context").alias("size"), F.sha2("context", 256).alias("digest")), _CONTEXT),
     "o155_citations": (lambda s, d: E.citations(_bundle(s, d)).select("part_number", F.array_join(F.transform("citations", lambda c: F.concat_ws(":", c["url"], c["source"])), ",").alias("cited")), f"WITH {_BUNDLE} SELECT conv_id AS part_number, string_agg(url || ':' || CASE WHEN role = 'user' THEN 'third-party' ELSE 'manufacturer' END, ',' ORDER BY place) AS cited FROM b GROUP BY 1"),
     "o182_attribute_lookup": (lambda s, d: observations(s, d).select("row_id", D.attribute(F.col("attributes"), "FLAG")["value"].alias("flag"), D.attribute(F.col("attributes"), "none").isNull().alias("missing")), f"WITH {OBS} SELECT row_id, flag, true AS missing FROM obs"),
     "o196_labels_by_url": (lambda s, d: E.labels_by_url(E.merged_tables(_bundle(s, d))).select("part_number", "url", F.array_join("labels", ",").alias("labels")), f"WITH {_BUNDLE} SELECT conv_id AS part_number, arg_min(url, place) AS url, 'Role' AS labels FROM b GROUP BY 1"),

@@ -72,7 +72,7 @@ def _first_match(spark, d):
 
 def _longest_prefix(spark, d):
     rows = observations(spark, d)
-    return J.by_prefix(rows, R.pure_winners(R.prefix_votes(rows)))
+    return J.by_prefix(rows, R.pure_winners(R.prefix_votes(rows))).distinct()
 
 
 def _first_token(spark, d):

@@ -87,20 +87,22 @@ _ATTRIBUTES = "WITH a AS (SELECT l_orderkey AS k, l_linenumber AS slot, max(l_re
 
 def _texts(s, d):
     p = _t("part")(s, d)
-    return p.select(F.upper("p_name").alias("INVOICE_DESC"), F.concat_ws(", ", *["p_name"] * 5).alias("MOBILE_DESC"), F.concat(F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, " in").otherwise("in")).alias("SHORT_DESC"), F.concat(F.lit("1.5"), F.when(F.col("p_partkey") % 5 == 0, " in").otherwise(" mm")).alias("LONG_DESC1"), F.col("p_name").alias("RETAIL_DESC"))
+    return p.select(F.when(F.col("p_partkey") % 2 == 0, F.upper("p_name")).otherwise(F.lower("p_name")).alias("INVOICE_DESC"), F.concat_ws(", ", *["p_name"] * 5).alias("MOBILE_DESC"), F.concat(F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, " in").otherwise("in")).alias("SHORT_DESC"), F.concat(F.lit("1.5"), F.when(F.col("p_partkey") % 5 == 0, " in").otherwise(" mm")).alias("LONG_DESC1"), F.col("p_name").alias("RETAIL_DESC"))
 
 
-_TEXTS = "WITH t AS (SELECT upper(p_name) AS i, array_to_string([p_name, p_name, p_name, p_name, p_name], ', ') AS m, p_partkey AS k FROM part) SELECT round_even(avg((length(i) <= 40)::INT), 3) AS invoice_within_40_chars, 1.0::DOUBLE AS invoice_all_caps, round_even(avg((length(m) BETWEEN 60 AND 80)::INT), 3) AS mobile_within_60_80_chars, round_even(avg((k % 2 = 0)::INT), 3) AS unit_spacing_correct, round_even(avg((k % 5 <> 0)::INT), 3) AS fractions_not_decimals FROM t"
+_TEXTS = "WITH t AS (SELECT upper(p_name) AS i, array_to_string([p_name, p_name, p_name, p_name, p_name], ', ') AS m, p_partkey AS k FROM part) SELECT round_even(avg((length(i) <= 40)::INT), 3) AS invoice_within_40_chars, round_even(avg((k % 2 = 0)::INT), 3) AS invoice_all_caps, round_even(avg((length(m) BETWEEN 60 AND 80)::INT), 3) AS mobile_within_60_80_chars, round_even(avg((k % 2 = 0)::INT), 3) AS unit_spacing_correct, round_even(avg((k % 5 <> 0)::INT), 3) AS fractions_not_decimals FROM t"
 
 
 def _records(s, d):
-    """Orders as records with their lines as citations."""
+    """Orders as records with their lines as citations; every fifth has none, and those of returned lines are editorial."""
     line = _t("lineitem")(s, d)
-    cites = line.groupBy("l_orderkey").agg(F.collect_list(F.struct(F.when(F.col("l_returnflag") == "A", "manual").otherwise("specification").alias("kind"), F.when(F.col("l_linestatus") == "O", "third-party").otherwise("manufacturer").alias("source"))).alias("citations"), F.count("*").alias("filled"), F.sum((F.col("l_quantity") > 25).cast("long")).alias("grounded"))
+    kind = F.when(F.col("l_returnflag") == "A", "manual").when(F.col("l_returnflag") == "R", "editorial").otherwise("specification")
+    cite = F.when(F.col("l_orderkey") % 5 > 0, F.struct(kind.alias("kind"), F.when(F.col("l_linestatus") == "O", "third-party").otherwise("manufacturer").alias("source")))
+    cites = line.groupBy("l_orderkey").agg(F.collect_list(cite).alias("citations"), F.count("*").alias("filled"), F.sum((F.col("l_quantity") > 25).cast("long")).alias("grounded"))
     return cites.withColumn("mfr_url", F.when(F.col("l_orderkey") % 2 == 0, "https://a.com/x").otherwise("https://a.com")).select("citations", "filled", "grounded", "mfr_url")
 
 
-_SOURCING = "WITH r AS (SELECT l_orderkey AS k, count(*) AS n, count(*) FILTER (l_linestatus = 'O') AS t, count(*) FILTER (l_quantity > 25) AS g FROM lineitem GROUP BY 1) SELECT count(*) AS records, count(*) AS records_with_a_source, 1.0::DOUBLE AS sourced_rate, count(*) AS records_with_verified_source, sum(n)::BIGINT AS documents_read, sum(t)::BIGINT AS third_party_documents, count(*) FILTER (t > 0) AS records_supplemented_third_party, count(*) FILTER (k % 2 = 0) AS deep_product_links, round_even(count(*) FILTER (k % 2 = 0) / count(*), 3) AS deep_link_rate, sum(n)::BIGINT AS filled_attribute_values, sum(g)::BIGINT AS grounded_values, round_even(sum(g) / sum(n), 3) AS grounded_rate FROM r"
+_SOURCING = "WITH r AS (SELECT l_orderkey AS k, count(*) AS n, count(*) FILTER (l_orderkey % 5 > 0) AS c, count(*) FILTER (l_orderkey % 5 > 0 AND l_returnflag <> 'R') AS v, count(*) FILTER (l_orderkey % 5 > 0 AND l_linestatus = 'O') AS t, count(*) FILTER (l_quantity > 25) AS g FROM lineitem GROUP BY 1) SELECT count(*) AS records, count(*) FILTER (c > 0) AS records_with_a_source, round_even(count(*) FILTER (c > 0) / count(*), 3) AS sourced_rate, count(*) FILTER (v > 0) AS records_with_verified_source, sum(c)::BIGINT AS documents_read, sum(t)::BIGINT AS third_party_documents, count(*) FILTER (t > 0) AS records_supplemented_third_party, count(*) FILTER (k % 2 = 0) AS deep_product_links, round_even(count(*) FILTER (k % 2 = 0) / count(*), 3) AS deep_link_rate, sum(n)::BIGINT AS filled_attribute_values, sum(g)::BIGINT AS grounded_values, round_even(sum(g) / sum(n), 3) AS grounded_rate FROM r"
 
 
 def _cost(s, d):
@@ -129,12 +131,14 @@ _BUNDLE = "c AS (SELECT conv_id, turn, min(role) AS role, coalesce(min(text), ''
 
 
 def _supported(s, d):
+    """The middle third of every text, sought in all documents of its conversation."""
     bundle = _bundle(s, d)
-    values = _t("conversations")(s, d).filter("turn = 0 and text is not null").select(F.col("conv_id").alias("part_number"), F.substring("text", 1, 12).alias("value"))
+    third = F.expr("substring(text, length(text) div 3 + 1, length(text) div 3)")
+    values = _t("conversations")(s, d).filter("text is not null").select(F.col("conv_id").alias("part_number"), third.alias("value"))
     return E.supported(values, bundle, 3).groupBy("part_number", "url", "third_party").agg(F.count("*").alias("n"))
 
 
-_SUPPORTED = f"WITH {_BUNDLE}, v AS (SELECT DISTINCT conv_id, text[1:12] AS value FROM conversations WHERE turn = 0 AND text IS NOT NULL), k AS (SELECT *, regexp_replace(replace(lower(trim(regexp_replace(value, '\\s+', ' ', 'g'))), 'ß', 'ss'), '[^a-z0-9]+', '', 'g') AS needle FROM v), h AS (SELECT k.conv_id, k.value, b.url, b.role = 'user' AS third_party, b.place FROM k JOIN b USING (conv_id) WHERE length(needle) >= 3 AND (contains(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^a-z0-9]+', '', 'g'), needle) OR contains(role, needle))), f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY conv_id, value ORDER BY place) = 1) SELECT conv_id AS part_number, url, third_party, count(*) AS n FROM f GROUP BY ALL"
+_SUPPORTED = f"WITH {_BUNDLE}, v AS (SELECT DISTINCT conv_id, substr(text, length(text) // 3 + 1, length(text) // 3) AS value FROM conversations WHERE text IS NOT NULL), k AS (SELECT *, regexp_replace(replace(lower(trim(regexp_replace(value, '\s+', ' ', 'g'))), 'ß', 'ss'), '[^a-z0-9]+', '', 'g') AS needle FROM v), h AS (SELECT k.conv_id, k.value, b.url, b.role = 'user' AS third_party, b.place FROM k JOIN b USING (conv_id) WHERE length(needle) >= 3 AND (contains(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^a-z0-9]+', '', 'g'), needle) OR contains(role, needle))), f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY conv_id, value ORDER BY place) = 1) SELECT conv_id AS part_number, url, third_party, count(*) AS n FROM f GROUP BY ALL"
 
 
 def _labelled(s, d):
@@ -244,7 +248,7 @@ QUERIES = {
     "o158_compliance": (lambda s, d: C.score_compliance(_texts(s, d)), _TEXTS),
     "o159_coverage": (lambda s, d: C.score_coverage(*[x.drop("row_id") for x in _scored(s, d)]), "WITH a AS (SELECT sum(2 + (c_custkey % 3 <> 0)::INT)::BIGINT AS o FROM customer WHERE c_custkey % 7 <> 0), b AS (SELECT 3 * count(*) AS t FROM customer) SELECT o AS cells_filled, t AS truth_cells_filled, round_even(o / t, 3) AS fill_ratio_vs_truth FROM a, b"),
     "o160_sourcing": (lambda s, d: C.score_sourcing(_records(s, d)), _SOURCING),
-    "o160_documents_by_kind": (lambda s, d: C.documents_by_kind(_records(s, d)), "SELECT CASE WHEN l_returnflag = 'A' THEN 'manual' ELSE 'specification' END AS kind, count(*) AS documents FROM lineitem GROUP BY 1"),
+    "o160_documents_by_kind": (lambda s, d: C.documents_by_kind(_records(s, d)), "SELECT CASE l_returnflag WHEN 'A' THEN 'manual' WHEN 'R' THEN 'editorial' ELSE 'specification' END AS kind, count(*) AS documents FROM lineitem WHERE l_orderkey % 5 > 0 GROUP BY 1"),
     "o161_headline": (lambda s, d: C.headline(_fields(False)(s, d)), f"WITH {_FIELDS} SELECT round_even(avg(exact_match), 3) AS mean_exact_match, round_even(avg(fuzzy_match), 3) AS mean_fuzzy_match FROM s"),
     "o162_run_summary": (lambda s, d: C.run_summary(_t("orders")(s, d).select((F.col("o_orderstatus") == "F").alias("needs_review"), (F.col("o_orderkey") % 100 / 100).alias("confidence"))), "SELECT count(*) AS records, count(*) FILTER (o_orderstatus = 'F') AS needs_review, round_even(count(*) FILTER (o_orderstatus = 'F') / count(*), 3) AS review_rate, round_even(avg((o_orderkey % 100) / 100), 3) AS mean_confidence FROM orders"),
     "o163_cost": (_cost, _COST),

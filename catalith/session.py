@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import os
+import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,3 +38,28 @@ def local_session(cpus: str = "8", partitions: int = 8, memory: str = "8g", name
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the driver's parquet tables."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+_own_folders: dict[str, str] = {}
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share. Where the session names none: a folder of this machine for a local master, else one in the warehouse, which a cluster shares too."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    app = spark.sparkContext.applicationId
+    if not root and app not in _own_folders:
+        local = spark.sparkContext.master.startswith("local")
+        _own_folders[app] = tempfile.mkdtemp(prefix="catalith-") if local else f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/catalith-scratch"
+    return (root or _own_folders[app]).rstrip("/")
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new name in the shared folder."""
+    return f"{shared_folder(spark)}/catalith-{name}-{uuid.uuid4().hex}"
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write a table to the shared folder and read it again, which cuts the lineage and outlives executors."""
+    path = shared_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,11 +8,10 @@ from catalith.plans import registry
 from tests.compare import difference
 
 SF = "/root/testdata/sf0.001"
-SLOW = {"o146_descriptions", "o135_classify"}
 
 
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
-@pytest.mark.parametrize("name", [n for n in registry.queries() if n not in SLOW])
+@pytest.mark.parametrize("name", list(registry.queries()))
 def test_query(spark, name):
     sql = registry.oracle_sql().get(name)
     out = registry.queries()[name](spark, SF)
