@@ -14,6 +14,7 @@ from catalith.operators import stages as S
 from catalith.operators import style as Y
 from catalith.operators import decisions as D
 from catalith.plans.proxy import OBS, observations
+from catalith.plans.registry_queries import FOLD, RESOLVED
 from catalith.plans.stage_queries import _BUNDLE, _bundle
 from catalith.plans.text_queries import _cases
 from catalith.session import prepare, table
@@ -80,7 +81,7 @@ def _order(s, d):
 
 
 def _attributes(s, d):
-    rows = observations(s, d)
+    rows = observations(s, d).dropDuplicates(["row_id"])
     train, held = S.split(rows)
     want = held.select("row_id", F.col("dept").alias("classpath"), F.posexplode("attributes").alias("slot", "a")).select("row_id", "classpath", "slot", F.col("a.label").alias("label"))
     said = held.select("row_id", F.explode("attributes").alias("a")).filter("a.label <> 'Size'").select("row_id", F.lower("a.label").alias("label_key"), F.when(F.col("row_id") % 3 == 0, "q").otherwise(F.col("a.value")).alias("value"), F.lit("").alias("uom"))
@@ -88,12 +89,26 @@ def _attributes(s, d):
     return S.resolve_attributes(want, said, pages, R.fit(train.withColumn("classpath", F.col("dept")))).select("row_id", "label", "value", "uom", "confidence", "source")
 
 
+_ATTRIBUTES = f"""
+    WITH {OBS}, h AS (SELECT DISTINCT row_id, flag, status FROM obs WHERE {FOLD.format('part_number')}),
+    m AS (SELECT row_id, 'Flag' AS label, flag AS v, NULL AS u FROM h UNION ALL SELECT row_id, 'Status', status, 'in' FROM h)
+    SELECT row_id, label, CASE WHEN row_id % 3 = 0 THEN 'Q' ELSE v END AS value, u AS uom, CASE WHEN row_id % 3 = 0 THEN 0.5 ELSE 0.95 END::DOUBLE AS confidence, CASE WHEN row_id % 3 = 0 THEN 'llm-offlov' ELSE 'llm+lov-exact' END AS source FROM m
+    UNION ALL SELECT row_id, 'Size', CASE WHEN row_id % 2 = 0 THEN '24 in' END, CASE WHEN row_id % 2 = 0 THEN 'lb' END, CASE WHEN row_id % 2 = 0 THEN 0.9 ELSE 0.0 END::DOUBLE, CASE WHEN row_id % 2 = 0 THEN 'spec-table:http://x' ELSE 'unfilled' END FROM h"""
+
+
 def _series(s, d):
     values = R.value_counts(R.melted(observations(s, d))).withColumn("label_key", F.when(F.col("label_key") == "flag", "series").otherwise(F.col("label_key")))
     rows = observations(s, d).select("row_id", F.when(F.col("row_id") % 2 == 0, F.col("classpath")).otherwise("unknown").alias("classpath"), F.when(F.col("row_id") % 3 == 0, "Sahara Series").when(F.col("row_id") % 3 == 1, "Sahara").otherwise(F.col("attributes")[0]["value"]).alias("series"))
     return S.plausible_series(rows, values).groupBy(F.col("classpath") == "unknown", "series").agg(F.count("*").alias("n")).toDF("unknown", "series", "n")
 
 
+def _makers(s, d):
+    """Answers that are worse than what the registry trusts are not taken; it trusts all it gives here."""
+    train, held = S.split(observations(s, d).dropDuplicates(["row_id"]))
+    answers = held.select("row_id", F.lit("Nobody").alias("answer_brand"), F.lit(0.99).alias("answer_confidence"))
+    return S.manufacturer_stage(held.select("row_id", "supplier", "hints", "mpn", "description"), R.fit(train), answers).groupBy("provenance").agg(F.count("*").alias("n"))
+
+
 def _approvals(s, d):
     bundle = _bundle(s, d)
     records = bundle.select("part_number").distinct().withColumn("brand", F.when(F.col("part_number") % 2 == 0, "A").otherwise("B"))
@@ -144,7 +159,7 @@ QUERIES = {
     "o053_rendered_attribute": (lambda s, d: _t("part")(s, d).select("p_partkey", X.rendered_attribute(F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, "in").otherwise("")).alias("out"), X.is_filled(F.when(F.col("p_partkey") % 3 == 0, "n/a").otherwise("x")).alias("filled")), "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_size || ' in' ELSE CAST(p_size AS VARCHAR) END AS out, p_partkey % 3 <> 0 AS filled FROM part"),
     "o056_head": (lambda s, d: _frame(s, "m string, b string", [("Whirlpool Corporation", "Whirlpool®"), ("", "Acme"), ("Acme", ""), ("Big", "Big Brand"), ("A", "B")]).select("m", "b", Y.mobile_head(F.col("m"), F.col("b")).alias("out")), "SELECT * FROM (VALUES ('Whirlpool Corporation', 'Whirlpool®', 'Whirlpool'), ('', 'Acme', 'Acme'), ('Acme', '', 'Acme'), ('Big', 'Big Brand', 'Big Brand'), ('A', 'B', 'A B')) AS t(m, b, out)"),
     "o069_usable": (lambda s, d: _t("pages")(s, d).select("page_id", I.is_usable(F.when(F.col("page_id") % 4 == 0, 404).otherwise(200), F.when(F.col("page_id") % 3 == 0, "").otherwise("x"), F.array_repeat(F.lit("p"), (F.col("page_id") % 2).cast("int"))).alias("ok")), "SELECT page_id, page_id % 4 <> 0 AND (page_id % 3 <> 0 OR page_id % 2 = 1) AS ok FROM pages"),
-    "o084_plausible_series": (_series, None),
+    "o084_plausible_series": (_series, f"WITH {OBS} SELECT row_id % 2 <> 0 AS unknown, CASE WHEN row_id % 2 = 0 AND row_id % 3 = 2 THEN flag WHEN row_id % 2 <> 0 AND row_id % 3 = 0 THEN 'Sahara Series' ELSE '' END AS series, count(*) AS n FROM obs GROUP BY ALL"),
     "o094_official_domain": (_official, "SELECT p_partkey, lower(string_split(p_type, ' ')[1]) || '.com' AS domain FROM part"),
     "o096_canonical_brand": (_canonical, f"WITH {OBS} SELECT row_id, brand AS approved FROM obs"),
     "o101_template_lookup": (_template, f"WITH {OBS} SELECT row_id, '{_FLAT}' AS labels FROM obs WHERE fine = '7'"),
@@ -156,9 +171,9 @@ QUERIES = {
     "o123_modal_name": (lambda s, d: retrieval.modal_name(_votes(s, d), _options(s, d).groupBy("query_id").agg(F.min("classpath").alias("classpath"))), f"WITH {_E}, {_O}, m AS (SELECT query_id, min(classpath) AS classpath FROM o GROUP BY 1), n AS (SELECT query_id, classpath || '-' || (row_id % 3) AS product_name, round(sum(score::DECIMAL(18, 6)), 6) AS votes, min(rank) AS seen FROM e JOIN m USING (query_id, classpath) GROUP BY ALL) SELECT query_id, product_name FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, seen) = 1"),
     "o124_build_order": (_order, "SELECT o_orderkey AS row_id, CASE WHEN o_orderkey % 2 = 0 THEN 'l0,l3,l4,l1' ELSE 'l0,l1,l3,l4' END AS labels FROM orders"),
     "o130_documents_to_read": (_cut_links, "WITH p AS (SELECT page_id % 9 AS part_number, page_id, row_number() OVER (PARTITION BY page_id % 9 ORDER BY page_id % 2, page_id) AS rank FROM pages) SELECT * FROM p WHERE rank <= 2"),
-    "o136_manufacturer_stage": (lambda s, d: (lambda t, h: S.manufacturer_stage(h.select("row_id", "supplier", "hints", "mpn", "description"), R.fit(t), h.select("row_id", F.lit("Nobody").alias("answer_brand"), F.lit(0.99).alias("answer_confidence"))).groupBy("provenance").agg(F.count("*").alias("n")))(*S.split(observations(s, d))), None),
+    "o136_manufacturer_stage": (_makers, f"{RESOLVED} SELECT provenance, count(*) AS n FROM resolved GROUP BY 1"),
     "o138_evidence_columns": (lambda s, d: E.columns_from_evidence(_frame(s, "column string, label string, priority int", [("R", "Role", 2), ("R", "None", 1)]), E.merged_tables(_bundle(s, d))).select("part_number", F.col("columns")["R"].alias("role")), f"WITH {_BUNDLE} SELECT conv_id AS part_number, arg_min(role, place) AS role FROM b GROUP BY 1"),
-    "o140_attributes": (_attributes, None),
+    "o140_attributes": (_attributes, _ATTRIBUTES),
     "o142_grounded": (lambda s, d: E.grounded(_bundle(s, d).select("part_number", F.col("url").alias("label"), F.element_at("tables", 1)["value"].alias("value"), F.lit(0.9).alias("confidence")), _bundle(s, d)).select("part_number", "label", "confidence"), f"WITH {_BUNDLE}, h AS (SELECT a.conv_id, a.url AS label, b.place, b.role FROM b a JOIN b USING (conv_id) WHERE contains(regexp_replace(replace(lower(b.text), 'ß', 'ss'), '[^a-z0-9]+', '', 'g'), a.role) OR contains(b.role, a.role)) SELECT conv_id AS part_number, label, CASE WHEN arg_min(role, place) = 'user' THEN 0.9 ELSE 0.97 END::DOUBLE AS confidence FROM h GROUP BY ALL"),
     "o144_approvals": (_approvals, _ROLES),
     "o149_source_stage": (_sourced, _SOURCED),
