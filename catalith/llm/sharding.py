@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from catalith.llm.common import written
 
-SHARDS, ATOM_BITS, CELL_ROWS = 8, 16, 20_000
+SHARDS, ATOM_BITS, CELL_ROWS = 8, 16, 1_000
 LAW = "bytes"
 
 #: Over `atoms`, an ordered array of struct(atom, size): the smallest capacity at which greedy filling needs at most {shards} shards.
