@@ -48,14 +48,21 @@ def read_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
-def merge(piece: bytes, ranks: dict[bytes, int]) -> list[bytes]:
-    """Plain BPE: merge the neighbours of least rank, the leftmost first, until none can be merged."""
+def merge(piece: bytes, ranks: dict[bytes, int], least: int = 1) -> list[bytes]:
+    """Plain BPE: merge the neighbours of least rank, the leftmost first, until none can be merged or only so many parts are left."""
     parts = [piece[i : i + 1] for i in range(len(piece))]
-    while len(parts) > 1:
-        rank, at = min((ranks.get(parts[i] + parts[i + 1], 1 << 60), i) for i in range(len(parts) - 1))
+    found = [ranks.get(piece[i : i + 2], 1 << 60) for i in range(len(piece) - 1)]
+    while len(parts) > least:
+        rank = min(found)
         if rank == 1 << 60:
             break
+        at = found.index(rank)
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        del found[at]
+        if at:
+            found[at - 1] = ranks.get(parts[at - 1] + parts[at], 1 << 60)
+        if at < len(found):
+            found[at] = ranks.get(parts[at] + parts[at + 1], 1 << 60)
     return parts
 
 
@@ -63,18 +70,10 @@ def last_merge(token: bytes, ranks: dict[bytes, int]) -> tuple[int, int] | None:
     """The two tokens whose merge makes this one, (-1, -1) for a single byte, None if merges never make it."""
     if len(token) == 1:
         return -1, -1
-    parts = merge(token, {k: v for k, v in _below(token, ranks)})
+    parts = merge(token, ranks, 2)
     return (ranks[parts[0]], ranks[parts[1]]) if len(parts) == 2 else None
 
 
-def _below(token: bytes, ranks: dict[bytes, int]) -> Iterator[tuple[bytes, int]]:
-    """The tokens that are parts of this one, but for itself."""
-    for i in range(len(token)):
-        for j in range(i + 1, len(token) + 1):
-            if (rank := ranks.get(token[i:j])) is not None and j - i < len(token):
-                yield token[i:j], rank
-
-
 class Transducer:
     """Bytes in, token ids out."""
 
