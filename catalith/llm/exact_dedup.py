@@ -35,8 +35,8 @@ from catalith.llm.common import batches_of_documents, text_bytes, written
 #: A prime of 100 bits. Powers of two modulo it have a long period, unlike modulo a Mersenne prime.
 PRIME = 10**30 + 57
 CHUNK = 1 << 16
-#: Bytes of a fingerprint class that one salt holds.
-SALT_BYTES = 8 << 20
+#: Bytes and rows of a fingerprint class that one salt holds.
+SALT_BYTES, SALT_ROWS = 8 << 20, 100
 MARKS = "at long, doc_id long, fp binary, size long, text_sha256 string"
 HOT = 256
 
@@ -132,7 +132,7 @@ def collisions(texts: DataFrame, marks: DataFrame, salt_bytes: int = SALT_BYTES)
     """(at, fp, size) of the rows whose text differs from the first one of their fingerprint class."""
     once = marks.groupBy("fp", "size", "at").agg(F.count("*").alias("n"))  # equal rows are compared once
     groups = once.groupBy("fp", "size").agg(F.min("at").alias("first"), F.count("*").alias("rows")).filter("rows > 1")
-    groups = written(groups.withColumn("salts", F.ceil(F.col("rows") * (F.col("size") + 1) / salt_bytes).cast("int")), "candidates")
+    groups = written(groups.withColumn("salts", F.ceil(F.greatest(F.col("rows") * (F.col("size") + 1) / salt_bytes, F.col("rows") / SALT_ROWS)).cast("int")), "candidates")
     rows = with_class(once.drop("n"), groups, ["fp", "size"], "rows", once.count())
     leads = F.col("at") == F.col("first")
     salts = F.when(leads, F.sequence(F.lit(0), F.col("salts") - 1)).otherwise(F.array(F.pmod(F.xxhash64("at"), F.col("salts")).cast("int")))
