@@ -8,7 +8,7 @@ from catalith.operators import registry as R
 from catalith.operators import resolve as J
 from catalith.operators import stages as S
 from catalith.plans.proxy import OBS, observations
-from catalith.session import prepare, table
+from catalith.session import prepare, table, written
 
 FOLD = "(CAST('0x' || substr(sha256({}), 1, 8) AS BIGINT) % 1000) < 300"
 _KEY = "trim(regexp_replace(regexp_replace(regexp_replace(lower({}), '\\(.*?\\)', ' ', 'g'), '\\b(inc|llc|ltd|co|corp|corporation|company|group|holding|holdings|mfg|manufacturing|industries|international|usa|na|the|and)\\b', ' ', 'g'), '[^a-z0-9]+', ' ', 'g'))"
@@ -72,7 +72,9 @@ def _first_match(spark, d):
 
 def _longest_prefix(spark, d):
     rows = observations(spark, d)
-    return J.by_prefix(rows, R.pure_winners(R.prefix_votes(rows))).distinct()
+    # learned once and written down, as each of the four lookups reads it
+    known = written(R.pure_winners(R.prefix_votes(rows)), "prefixes")
+    return J.by_prefix(rows, known).distinct()
 
 
 def _first_token(spark, d):

@@ -138,7 +138,7 @@ def _supported(s, d):
     return E.supported(values, bundle, 3).groupBy("part_number", "url", "third_party").agg(F.count("*").alias("n"))
 
 
-_SUPPORTED = f"WITH {_BUNDLE}, v AS (SELECT DISTINCT conv_id, substr(text, length(text) // 3 + 1, length(text) // 3) AS value FROM conversations WHERE text IS NOT NULL), k AS (SELECT *, regexp_replace(replace(lower(trim(regexp_replace(value, '\s+', ' ', 'g'))), 'ß', 'ss'), '[^a-z0-9]+', '', 'g') AS needle FROM v), h AS (SELECT k.conv_id, k.value, b.url, b.role = 'user' AS third_party, b.place FROM k JOIN b USING (conv_id) WHERE length(needle) >= 3 AND (contains(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^a-z0-9]+', '', 'g'), needle) OR contains(role, needle))), f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY conv_id, value ORDER BY place) = 1) SELECT conv_id AS part_number, url, third_party, count(*) AS n FROM f GROUP BY ALL"
+_SUPPORTED = f"WITH {_BUNDLE}, v AS (SELECT DISTINCT conv_id, substr(text, length(text) // 3 + 1, length(text) // 3) AS value FROM conversations WHERE text IS NOT NULL), k AS (SELECT *, regexp_replace(replace(lower(trim(regexp_replace(value, '\\s+', ' ', 'g'))), 'ß', 'ss'), '[^a-z0-9]+', '', 'g') AS needle FROM v), h AS (SELECT k.conv_id, k.value, b.url, b.role = 'user' AS third_party, b.place FROM k JOIN b USING (conv_id) WHERE length(needle) >= 3 AND (contains(regexp_replace(replace(lower(text), 'ß', 'ss'), '[^a-z0-9]+', '', 'g'), needle) OR contains(role, needle))), f AS (SELECT * FROM h QUALIFY row_number() OVER (PARTITION BY conv_id, value ORDER BY place) = 1) SELECT conv_id AS part_number, url, third_party, count(*) AS n FROM f GROUP BY ALL"
 
 
 def _labelled(s, d):
