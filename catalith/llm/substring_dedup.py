@@ -47,7 +47,7 @@ WINDOW, ANCHOR = 13, 8
 #: Bytes of text whose anchors make up one key range.
 RANGE_BYTES = 8 << 20
 #: Entries that a task holds before it packs and emits them.
-FLUSH = 2_000_000
+FLUSH = 1_000_000
 _C = np.uint64(0x9E3779B97F4A7C15)
 _words = Memo(xxhash.xxh3_64_intdigest)
 
