@@ -10,10 +10,14 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 
 PACKAGE_ROOT = str(Path(__file__).resolve().parent.parent)
+#: Rows of an Arrow batch: Spark's default, and what we take in its place, as whole texts make large batches in the executor and its Python worker both.
+BATCH_ROWS, BATCH_DEFAULT, OUR_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", "10000", "2000"
 
 
 def prepare(spark: SparkSession) -> SparkSession:
-    """Make sure Python workers can import this package, and return the session."""
+    """Make sure Python workers can import this package and get batches of bounded size (a session's own choice stays), and return the session."""
+    if spark.conf.get(BATCH_ROWS) == BATCH_DEFAULT:
+        spark.conf.set(BATCH_ROWS, OUR_BATCH)
     env = spark.sparkContext.environment
     paths = [p for p in env.get("PYTHONPATH", os.environ.get("PYTHONPATH", "")).split(os.pathsep) if p]
     if PACKAGE_ROOT not in paths:
@@ -53,9 +57,19 @@ def shared_folder(spark: SparkSession) -> str:
     return (root or _own_folders[app]).rstrip("/")
 
 
+_made: set[str] = set()
+
+
 def shared_path(spark: SparkSession, name: str) -> str:
-    """A new name in the shared folder."""
-    return f"{shared_folder(spark)}/catalith-{name}-{uuid.uuid4().hex}"
+    """A new name in a folder of this application within the shared one, which goes when the application ends."""
+    folder = f"{shared_folder(spark)}/catalith-{spark.sparkContext.applicationId}"
+    if folder not in _made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(folder)  # PySpark has no public way to delete files of a shared store
+        files = where.getFileSystem(spark._jsc.hadoopConfiguration())
+        files.mkdirs(where)
+        files.deleteOnExit(where)
+        _made.add(folder)
+    return f"{folder}/{name}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

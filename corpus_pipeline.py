@@ -32,6 +32,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     a null lang is no reason to go. Repeated rows are judged alike and stay repeated; an empty table stays empty; texts of any length are judged whole;
     columns besides those of documents go, whatever their names.
     """
+    prepare(spark)
     out = language_id.identify(docs, language_id.may_teach(), carry=COLUMNS)
     return out.filter("accepted").select(*COLUMNS)
 
@@ -42,6 +43,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Null and empty texts are equal to each other and keep one row; rows that repeat an id with different texts are groups of their own; very long texts
     are compared whole; an empty table stays empty; columns besides those of documents go, whatever their names.
     """
+    prepare(spark)
     kept = exact_dedup.classes(docs).filter("kept").select(_key(F.col("text_sha256")).alias("key"))
     return _one_each(docs, exact_dedup.text_digest(text_bytes()), kept)
 
@@ -52,6 +54,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     Texts without words, null or empty, have fingerprint zero and are linked like any other; rows with equal fingerprints are one component, however many;
     an empty table stays empty; columns besides those of documents go, whatever their names.
     """
+    prepare(spark)
     kept = simhash.rooted(docs).filter("doc_id <=> component_id").groupBy("doc_id", "root").agg(F.min("fp").alias("fp"))
     kept = kept.select(_key(F.col("fp").cast("string")).alias("key"))
     return _one_each(docs, simhash.fingerprint(text_bytes()).cast("string"), kept)
@@ -63,6 +66,7 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     Null texts stay null; a text that loses all its words becomes empty and its row stays; a row with a null id loses what any document with an id has;
     rows that repeat an id lose nothing on each other's account; an empty table stays empty; columns besides those of documents go, whatever their names.
     """
+    prepare(spark)
     out = substring_dedup.deduplicate(docs, carry=COLUMNS)
     text = F.when(F.col("n_removed") > 0, F.decode("kept", "utf-8")).otherwise(F.col("text"))
     return out.withColumn("text", text).withColumn("n_chars", F.when(F.col("n_removed") > 0, F.length("text").cast("long")).otherwise(F.col("n_chars"))).select(*COLUMNS)
@@ -70,6 +74,7 @@ def drop_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of sequences; a null or empty text is its closing id alone, repeated rows are packed each, an empty table gives no pieces."""
+    prepare(spark)
     return packing.pack(docs, queries.tokenizer_path(queries.WORD_BPE))
 
 
