@@ -26,7 +26,7 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalith.llm.common import batches_of_documents, written
@@ -260,10 +260,8 @@ def pair_counts(documents: DataFrame) -> DataFrame:
         yield pa.record_batch({"pair": pairs, "n": times})
 
     counts = documents.select("pairs", "times").mapInArrow(rows, "pair long, n long").groupBy("pair").agg(F.sum("n").alias("n"))
-    counts = counts.withColumn("b", F.col("pair").bitwiseAND((1 << PAIR_BITS) - 1))
-    counts = written(counts, "pairs")
-    highest = counts.groupBy("b").agg(F.max("n").alias("highest"))
-    return written(counts.join(highest, "b").select("pair", "n", (F.col("n") == F.col("highest")).alias("best")), "counts")
+    highest = F.max("n").over(Window.partitionBy(F.col("pair").bitwiseAND((1 << PAIR_BITS) - 1)))  # a B id has no more pairs than there are A ids
+    return written(counts.select("pair", "n", (F.col("n") == highest).alias("best")), "counts")
 
 
 def looked_up(documents: DataFrame, pairs: np.ndarray, counts: np.ndarray, best: np.ndarray) -> DataFrame:

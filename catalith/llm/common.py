@@ -43,11 +43,11 @@ def new_folder(spark: SparkSession, name: str, keep: bool = False) -> str:
     return path
 
 
-def written(df: DataFrame, name: str, keep: bool = False, by: str | None = None) -> DataFrame:
-    """Write a table to the shared folder and read it again, which cuts the lineage and outlives executors."""
+def written(df: DataFrame, name: str, keep: bool = False, by: str | None = None, files: int | None = None) -> DataFrame:
+    """Write a table to the shared folder and read it again, which cuts the lineage and outlives executors. files: into so many at most, for tables of known size."""
     spark = df.sparkSession
     path = new_folder(spark, name, keep)
-    write(df, path, by)
+    write(df.coalesce(files) if files else df, path, by)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 from catalith.llm.common import written
 
 WORDS, BLOCK = 10, 100_000
+#: Windows in a file of the table of prefixes.
+FILE_ROWS = 10_000
 #: What separates words of a text in lower case. Upper-case letters, which such a text has no more, are words, so that one can mark its beginning.
 SEPARATORS, MARK = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+", "A"
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -53,9 +55,8 @@ def positions(docs: DataFrame) -> DataFrame:
     return rows.select("doc_id", "mark", "words", F.posexplode_outer("words").alias("at", "word"))  # outer: or Spark would split twice, to leave out empty arrays
 
 
-def rarity(docs: DataFrame, found: DataFrame, block: int = BLOCK) -> DataFrame:
-    """(word, n) of the words in windows: how often each occurs in all documents."""
-    used = written(found.select(F.explode("window").alias("word")).distinct(), "vocabulary")
+def rarity(docs: DataFrame, used: DataFrame, block: int = BLOCK) -> DataFrame:
+    """(word, n) of the used words: how often each occurs in all documents."""
     words = docs.select(words_of().alias("words")).select(F.explode_outer("words").alias("word"))
     counts = [words.join(F.broadcast(part), "word").groupBy("word").agg(F.count("*").alias("n")) for part in blocks(used, "word", block)]
     return used.join(reduce(DataFrame.unionByName, counts), "word", "left").na.fill(0, ["n"])
@@ -95,8 +96,10 @@ def covered(spans: str = "spans") -> Column:
 
 def decontaminate(docs: DataFrame, items: DataFrame, size: int = WORDS, block: int = BLOCK) -> DataFrame:
     """(doc_id, n_words, n_hit, n_items, items, contaminated) of every document; items: the ids of those with a window in it, in order."""
-    found = written(windows(items, size), "windows")
-    heads = written(prefixes(found, rarity(docs, found, block)), "prefixes")
+    found = windows(items, size)
+    used = found.select(F.explode("window").alias("word")).distinct()
+    counts, some = rarity(docs, used, block), used.count() <= block
+    heads = written(prefixes(found, F.broadcast(counts) if some else counts), "prefixes", files=1 + found.count() // FILE_ROWS)
     mark, none = F.lit(MARK).alias, F.lit(0).alias
     marker = docs.sparkSession.range(1).select(mark("word"), none("before"), mark("second"), none("ahead"), F.array(F.lit(MARK)).alias("window"), F.array().cast("array<string>").alias("items"))
     parts = [occurrences(docs, part.unionByName(marker) if i == 0 else part) for i, part in enumerate(blocks(heads, "window", block))]

@@ -37,6 +37,8 @@ LEAST_DOCUMENTS, SHOWN_TERMS, SCALE = 10, 10, 1_000_000_000
 SKETCH_ROWS, CELL_BYTES, LEAST_CELLS, MOST_CELLS = 2, 64, 1 << 16, 1 << 27
 #: Cells of one row of the sketch table; entries that a task holds before it hands them over; bytes of text that are taken apart at once.
 CHUNK, HELD, PART = 1 << 16, 4_000_000, 8_000_000
+#: Groups that are broadcast; more are joined. Files of their table.
+FEW_GROUPS, FILES = 100_000, 8
 CELLS = "chunk int, at binary, n binary"
 COUNTS = "lang string, source string, term string, count long, documents long"
 
@@ -92,15 +94,17 @@ def document_terms(texts: pa.Array) -> tuple[pa.Array, np.ndarray, np.ndarray, n
     return terms.dictionary, keys // width, keys % width, n
 
 
-def _hashes(terms: pa.Array) -> np.ndarray:
-    """A 64-bit number for each term."""
-    if not len(terms):
-        return np.zeros(0, np.uint64)
-    offsets = np.frombuffer(terms.buffers()[1], np.int32)[terms.offset : terms.offset + len(terms) + 1].astype(np.int64)
-    data = np.frombuffer(terms.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
-    starts = offsets[:-1] - offsets[0]
-    place = np.arange(len(data)) - np.repeat(starts, np.diff(offsets))
-    return np.add.reduceat(mix((data + np.uint64(1)) * _STEP + place.astype(np.uint64)), starts)
+def _hashes(names: pa.Array) -> np.ndarray:
+    """A 64-bit number for each name, 0 for an empty one."""
+    found = np.zeros(len(names), np.uint64)
+    offsets = np.frombuffer(names.buffers()[1] or bytes(4), np.int32)[names.offset : names.offset + len(names) + 1].astype(np.int64)
+    filled = np.flatnonzero(np.diff(offsets))
+    if len(filled):
+        data = np.frombuffer(names.buffers()[2], np.uint8)[offsets[0] : offsets[-1]].astype(np.uint64)
+        starts = offsets[filled] - offsets[0]
+        place = np.arange(len(data)) - np.repeat(starts, np.diff(offsets)[filled])
+        found[filled] = np.add.reduceat(mix((data + np.uint64(1)) * _STEP + place.astype(np.uint64)), starts)
+    return found
 
 
 def _cells(hashes: np.ndarray, language: np.ndarray, cells: int) -> list[np.ndarray]:
@@ -231,10 +235,11 @@ def audit(docs: DataFrame, least: int = LEAST_DOCUMENTS, shown: int = SHOWN_TERM
     by_lang = found.groupBy("lang", "term").agg(F.first("lang_count").alias("n")).groupBy("lang").agg(F.count("*").alias("kept"), F.sum("n").alias("lang_total"))
     groups = counts.filter("term is null").select("lang", "source").join(found.groupBy("lang", "source").agg(F.sum("count").alias("total")), ["lang", "source"], "left")
     groups = groups.join(by_lang, "lang", "left").na.fill(0, ["total", "kept", "lang_total"]).withColumn("p0", probability("0", "total", "kept"))
-    groups = written(groups, "groups")
+    groups = written(groups, "groups", files=FILES)
 
-    cell = found.join(groups, ["lang", "source"]).withColumn("p", probability("count", "total", "kept"))
-    cell = written(cell.withColumn("q", probability("lang_count", "lang_total", "kept")).select("lang", "source", "term", "count", "p", "p0", "q"), "cells")
+    # a group's terms would meet in one task, unless groups are few enough to broadcast; else Spark splits large ones
+    cell = found.join(F.broadcast(groups) if groups.count() <= FEW_GROUPS else groups, ["lang", "source"]).withColumn("p", probability("count", "total", "kept"))
+    cell = cell.withColumn("q", probability("lang_count", "lang_total", "kept")).select("lang", "source", "term", "count", "p", "p0", "q")
     apart = cell.filter("p > q").select("lang", "source", F.col("term").alias("item"), divergence("p", "q").alias("value"))
 
     left = groups.select("lang", F.col("source").alias("a"), F.col("p0").alias("a0"), "kept")
