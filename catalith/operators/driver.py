@@ -1,16 +1,24 @@
-"""The stages as one chain, and what is shown of its records (O-078, O-087, O-120, O-152, O-174, O-175, O-184, O-189, O-190, O-195).
+"""The stages as one chain, and what is shown of its records (O-078, O-087, O-120, O-152, O-164, O-174, O-175, O-184, O-189, O-190, O-195).
 
-A stage is a function from a DataFrame of records to one. It says itself, row by row, what went wrong: in a column `failed` that is null where nothing did. The
-driver turns that into an issue, gives the row back as it was before the stage, and goes on with the next stage, so that one row's failure
-costs this row this stage only. A stage that cannot even be planned counts as failed for all rows.
+A stage is a function from a DataFrame of records to one. What goes wrong costs the row this stage only: the row goes on as it was before, with an issue.
+
+* A stage can say itself, row by row, what went wrong: in a column `failed` that is null where nothing did.
+* A stage that cannot be planned counts as failed for all rows.
+* A stage that fails while it runs is run again on parts of its input, dealt out by a hash of the key. Parts that succeed are kept; parts that fail are dealt
+  out again, with another hash, until one key is left, and that row is marked. `k` rows that fail take some `FAN * k * log(n) / log(FAN)` short jobs,
+  and none where nothing fails. Errors that are not a row's, like lost executors or a full disk, are raised as they are.
 """
 
 from __future__ import annotations
 
+import re
+import time
 from collections.abc import Callable, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.errors import PythonException
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from catalith.functions import fixed_values as V
@@ -19,48 +27,134 @@ from catalith.operators.registry import Registry
 from catalith.operators.resolve import candidates, resolve, template_for
 
 Stage = tuple[str, Callable[[DataFrame], DataFrame]]
+Cut = Callable[[DataFrame, str], DataFrame]
 SAMPLE_MOST, SEARCH_MOST, LISTED_MOST = 200, 6, 6
+#: Parts that a failing input is dealt out to, and parts' tables that are read as one before they are written together.
+FAN = 8
+#: What tells that an error is the cluster's and not a row's.
+CLUSTER = re.compile(r"ExecutorLost|FetchFailed|OutOfMemory|No space left|was cancelled|SparkContext was shut down|Connection refused", re.I)
+_LAST_LINE = re.compile(r"^(?:[A-Za-z_]\w*\.)*([A-Za-z_]\w*)(?::|$)")
+
+
+@dataclass(frozen=True)
+class StageRun:
+    """What is known of a stage once it has run: its rows, how many failed, seconds, and jobs that were tried."""
 
+    stage: str
+    rows: int
+    failed: int
+    seconds: float
+    tries: int
 
-def run(records: DataFrame, stages: Sequence[Stage], hook: Callable[[str, str], None] | None = None, key: str = "row_id", cut: Callable[[DataFrame, str], DataFrame] | None = None) -> DataFrame:
+
+def run(
+    records: DataFrame, stages: Sequence[Stage], hook: Callable[[str, str], None] | None = None, key: str = "row_id", cut: Cut | None = None, report: Callable[[StageRun], None] | None = None
+) -> DataFrame:
     """O-152. records (row_id, issues, needs_review and more) after all stages, in their order. A stage returns all rows with their key and any columns it sets, and may set `failed`, what kind of failure a row
-    had; it must neither add nor drop rows. hook: told of each stage as it is planned (name, "start" or "end"); what it raises is passed over. cut (records, name): writes the records down after each stage, so
-    that no plan grows with the number of stages and a lost executor costs one stage at most. Rows keep their key, by which input order is restored."""
+    had; it must neither add nor drop rows, and what it makes of a row must not depend on the others. cut (records, name): runs and writes down the records after each stage, so that no plan grows with the number of
+    stages, a lost executor costs one stage at most, and failures at run time stay with their rows; without it the chain is only planned, and such a failure is the caller's.
+    hook: told of each stage as it begins and ends (name, "start" or "end"). report (O-164): told of each stage that has run, from counts that Spark took on the way. What either raises is passed over.
+    Rows keep their key, by which input order is restored; a null key is one of its own."""
     for name, stage in stages:
         _tell(hook, name, "start")
-        try:
-            after = stage(records)
-            records = _joined(records, after, name, key)
-        except AnalysisException as gone:
-            records = _marked(records, F.lit(True), F.lit(type(gone).__name__), name)
+        began = time.monotonic()
         if cut:
-            records = cut(records, name)
+            records, rows, failed, tries = _executed(records, stage, name, key, cut)
+            _tell(report, StageRun(name, rows, failed, time.monotonic() - began, tries))
+        else:
+            records = _planned(records, stage, name, key).drop(FAILED)
         _tell(hook, name, "end")
     return records
 
 
-def _tell(hook: Callable[[str, str], None] | None, name: str, when: str) -> None:
+FAILED = "_failed"
+
+
+def _tell(observer: Callable | None, *what) -> None:
     try:
-        if hook:
-            hook(name, when)
+        if observer:
+            observer(*what)
     except Exception:  # noqa: BLE001, S110  what observers raise never breaks a run
         pass
 
 
+def kind_of(error: BaseException) -> str:
+    """The name of what was raised; of an error in Python code that Spark ran, the name in the last line of its traceback."""
+    if isinstance(error, PythonException):
+        lines = [x.strip() for x in str(error).splitlines() if x.strip() and not x.lstrip().startswith(("File ", "at ", "JVM", "^"))]
+        names = [m.group(1) for x in lines if (m := _LAST_LINE.match(x)) and m.group(1).endswith(("Error", "Exception", "Iteration", "Interrupt", "Exit", "Warning"))]
+        names = [n for n in names if n != "PythonException"]
+        return names[-1] if names else "PythonException"
+    return type(error).__name__
+
+
 def _marked(records: DataFrame, failed: Column, kind: Column, name: str) -> DataFrame:
     issue = F.concat(F.lit(f"stage {name} failed: "), kind)
     return records.withColumn("issues", F.when(failed, F.array_append("issues", issue)).otherwise(F.col("issues"))).withColumn("needs_review", F.col("needs_review") | failed)
 
 
+def _planned(records: DataFrame, stage: Callable[[DataFrame], DataFrame], name: str, key: str) -> DataFrame:
+    """What the stage makes of the rows, with FAILED, which tells those that it failed for."""
+    try:
+        after = stage(records)
+        return _joined(records, after, name, key)
+    except Exception as error:  # noqa: BLE001  whatever a stage raises is its own
+        return _lost(records, name, error)
+
+
+def _lost(records: DataFrame, name: str, error: BaseException) -> DataFrame:
+    return _marked(records, F.lit(True), F.lit(kind_of(error)), name).withColumn(FAILED, F.lit(True))
+
+
 def _joined(before: DataFrame, after: DataFrame, name: str, key: str) -> DataFrame:
     """What the stage made of each row, or the row as it was where it failed. A stage that cannot fail needs no join."""
     if "failed" not in after.columns:
-        return after
+        return after.withColumn(FAILED, F.lit(False))
     failed = F.col("failed").isNotNull()
     kept = before.select(F.col(key).alias("_key"), F.struct(*before.columns).alias("_was"))
-    both = after.join(kept, after[key] == kept["_key"])
+    both = after.join(kept, after[key].eqNullSafe(kept["_key"]))
     shared = [F.when(failed, F.col(f"_was.{c}")).otherwise(F.col(c)).alias(c) if c in before.columns else F.when(~failed, F.col(c)).alias(c) for c in after.columns if c != "failed"]
-    return _marked(both.select(*shared, "failed"), failed, F.col("failed"), name).drop("failed")
+    return _marked(both.select(*shared, "failed"), failed, F.col("failed"), name).withColumn(FAILED, failed).drop("failed")
+
+
+def _executed(records: DataFrame, stage: Callable[[DataFrame], DataFrame], name: str, key: str, cut: Cut) -> tuple[DataFrame, int, int, int]:
+    """The rows after the stage, written down; how many there are, how many of them failed, and how many jobs that took."""
+    open_, done, rows, failed, tries = [(records, 0)], [], 0, 0, 0
+    while open_:
+        part, depth = open_.pop()
+        tries += 1
+        try:
+            made, n, bad = _cut(_planned(part, stage, name, key), name, cut)
+        except Exception as error:  # noqa: BLE001  whatever a stage raises is its rows'
+            if CLUSTER.search(str(error)):
+                raise
+            parts = _dealt(part, key, depth)
+            if parts:
+                open_ += [(p, depth + 1) for p in parts]
+                continue
+            made, n, bad = _cut(_lost(part, name, error), name, cut)
+        done.append(made)
+        rows, failed = rows + n, failed + bad
+    whole = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), done)
+    return (whole if len(done) == 1 else cut(whole, name)), rows, failed, tries
+
+
+def _cut(made: DataFrame, name: str, cut: Cut) -> tuple[DataFrame, int, int]:
+    """Write a part down; Spark counts its rows and failures on the way."""
+    seen = Observation(f"stage {name}")
+    counted = made.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.col(FAILED).cast("long")), F.lit(0)).alias("failed"))
+    written = cut(counted.drop(FAILED), name)
+    return written, seen.get["rows"], seen.get["failed"]
+
+
+def _dealt(part: DataFrame, key: str, depth: int) -> list[DataFrame]:
+    """The part's rows, dealt out by their key; nothing if they have one key."""
+    keys = part.agg(F.min(key).alias("a"), F.max(key).alias("b"), F.count(F.when(F.col(key).isNull(), 1)).alias("none"), F.count(F.lit(1)).alias("n")).first()
+    if keys.n == keys.none or (keys.a == keys.b and not keys.none):
+        return []
+    fan = min(FAN, keys.n)
+    at = F.pmod(F.xxhash64(F.lit(depth), F.coalesce(F.col(key).cast("string"), F.lit(""))), F.lit(fan))
+    return [part.filter(at == i) for i in range(fan)]
 
 
 def failures(records: DataFrame) -> DataFrame:

@@ -99,7 +99,7 @@ def manufacturer_stage(rows: DataFrame, registry: Registry, answers: DataFrame |
 
 def resolve_attributes(wanted: DataFrame, extracted: DataFrame, evidence: DataFrame, registry: Registry) -> DataFrame:
     """O-140. (row_id, slot, label, value, uom, confidence, source) of each template label: a model's value on the list 0.95, snapped to it at 85 or more 0.85, off it 0.5, free 0.7; a pair of a
-    page 0.9; nothing 0. Measures are cleaned, lower-case text is put in title case, the usual unit fills in. wanted: (row_id, classpath, slot, label); extracted: (row_id, label_key, value, uom); evidence: (row_id, label_key, value, url)."""
+    page 0.9; nothing 0. Measures are cleaned, answers in lower case are put in title case, the usual unit fills in. wanted: (row_id, classpath, slot, label); extracted: (row_id, label_key, value, uom); evidence: (row_id, label_key, value, url)."""
     key = ["classpath", "label_key"]
     w = wanted.withColumn("label_key", folded(F.col("label")))
     model = extracted.select("row_id", "label_key", F.col("value").alias("m_value"), F.col("uom").alias("m_uom"))
@@ -116,7 +116,7 @@ def resolve_attributes(wanted: DataFrame, extracted: DataFrame, evidence: DataFr
     has = F.col("m_value").isNotNull()
     kinds = [
         (has & limited & F.coalesce("listed", F.lit(False)), F.col("m_value"), F.lit(0.95), F.lit("llm+lov-exact")),
-        (has & limited & F.col("snap").isNotNull(), F.col("snap.value"), F.lit(0.85), F.lit("llm+lov-snap")),
+        (has & limited & F.col("snap").isNotNull(), F.col("snap.value"), F.lit(0.85), F.concat(F.lit("llm+lov-snap:"), F.col("snap.score").cast("string"))),
         (has & limited, F.col("m_value"), F.lit(0.5), F.lit("llm-offlov")),
         (has, F.col("m_value"), F.lit(0.7), F.lit("llm")),
         (F.col("p_value").isNotNull(), F.col("p_value"), F.lit(0.9), F.concat(F.lit("spec-table:"), "url")),
@@ -126,7 +126,8 @@ def resolve_attributes(wanted: DataFrame, extracted: DataFrame, evidence: DataFr
     for hint in V.MEASURES:
         measure = measure | F.col("label_key").contains(hint)
     out = out.select("row_id", "slot", "label", value.alias("value"), _cascade([(k[0], k[2]) for k in kinds], F.lit(0.0)).alias("confidence"), _cascade([(k[0], k[3]) for k in kinds], F.lit("unfilled")).alias("source"), F.coalesce(F.nullif("m_uom", F.lit("")), F.when(value.isNotNull(), F.col("usual"))).alias("uom"), measure.alias("measure"))
-    plain = F.when(~F.col("value").rlike(r"\d") & (F.lower("value") == F.col("value")) & (F.upper("value") != F.col("value")), title_case(F.col("value"))).otherwise(F.col("value"))
+    answered = F.startswith("source", F.lit("llm"))  # what a page says stays as it says it
+    plain = F.when(answered & ~F.col("value").rlike(r"\d") & (F.lower("value") == F.col("value")) & (F.upper("value") != F.col("value")), title_case(F.col("value"))).otherwise(F.col("value"))
     return out.withColumn("value", F.nullif(F.when(F.col("measure"), measure_text(F.col("value"))).otherwise(plain), F.lit(""))).drop("measure")
 
 
@@ -146,7 +147,7 @@ def source_stage(rows: DataFrame, assets: DataFrame) -> DataFrame:
     out = rows.join(assets, "brand", "left")
     stem = F.concat_ws("_", F.coalesce("prefix", slug(F.col("brand"))), slug(F.col("mpn")))
     image = F.when(F.coalesce("image_rate", F.lit(0.0)) >= 0.5, F.create_map(F.lit("Product Image"), F.concat(stem, F.lit(".jpg")))).otherwise(F.create_map().cast("map<string,string>"))
-    files = F.map_from_entries(F.transform(F.map_keys(F.map_filter(F.coalesce("rates", F.create_map().cast("map<string,double>")), lambda k, v: v >= 0.5)), lambda k: F.struct(k, F.concat(stem, F.lit("_"), F.regexp_replace(k, "[^A-Za-z0-9]+", "_"), F.lit(".pdf")))))
+    files = F.map_from_entries(F.transform(F.map_keys(F.map_filter(F.coalesce("rates", F.create_map().cast("map<string,double>")), lambda k, v: (v >= 0.5) & (k != "Product Image"))), lambda k: F.struct(k, F.concat(stem, F.lit("_"), F.regexp_replace(k, "[^A-Za-z0-9]+", "_"), F.lit(".pdf")))))
     names = F.when((slug(F.col("mpn")) == "") | (F.col("brand") == ""), F.create_map().cast("map<string,string>")).otherwise(F.map_concat(image, files))
     deep = F.coalesce("mfr_url", F.lit("")) != ""
     return out.select(*[c for c in rows.columns if c != "mfr_url"], F.when(deep, F.col("mfr_url")).otherwise(F.col("domain")).alias("mfr_url"), F.when(deep, F.lit(0.95)).when(F.col("domain").isNotNull(), 0.7).otherwise(0.0).alias("url_confidence"), names.alias("asset_names"))

@@ -1,6 +1,7 @@
 """The driver keeps a failure to the row and the stage that it happened in, and the chain runs from end to end."""
 
 import os
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,6 +41,62 @@ def test_failures_stay_where_they_happen(spark):
     assert R.run(records(spark, 0), stages[:1]).count() == 0
 
 
+def cut(r, name):
+    return written(r, f"test-{name}")
+
+
+def divided(n):
+    """Fails in Python for one row."""
+
+    @F.udf("int")
+    def each(i):
+        return 1 // (0 if i == n else 1)
+
+    return each
+
+
+def test_failures_at_run_time_stay_with_their_rows(spark):
+    raised = lambda r, ids: r.withColumn("state", F.when(F.col("row_id").isin(*ids), F.raise_error(F.lit("bad"))).otherwise(F.concat("state", F.lit("1"))))
+    stages = [
+        ("one", lambda r: raised(r, [3, 17])),
+        ("two", lambda r: r.withColumn("made", divided(5)(F.col("row_id")))),
+        ("three", lambda r: r.withColumn("n", (F.when(F.col("row_id") == 8, F.lit("x")).otherwise(F.lit("1"))).cast("int"))),
+        ("four", lambda r: r.withColumn("failed", F.when(F.col("row_id") == 9, "ValueError")).withColumn("state", F.concat("state", F.lit("4")))),
+        ("five", lambda r: r.withColumn("last", F.lit(1))),
+    ]
+    told = []
+    out = R.run(records(spark, 40), stages, cut=cut, report=told.append)
+    rows = {r.row_id: r for r in out.collect()}
+    assert len(rows) == 40 and out.count() == 40
+    failed = {i: list(r.issues) for i, r in rows.items() if r.issues}
+    assert failed == {3: ["stage one failed: SparkRuntimeException"], 17: ["stage one failed: SparkRuntimeException"], 5: ["stage two failed: ZeroDivisionError"], 8: ["stage three failed: NumberFormatException"], 9: ["stage four failed: ValueError"]}
+    assert all(r.needs_review == bool(r.issues) for r in rows.values())
+    assert rows[3].state == "old4" and rows[9].state == "old1" and rows[4].state == "old14"
+    assert rows[5].made is None and rows[4].made == 1 and rows[8].n is None and rows[4].n == 1 and all(r.last == 1 for r in rows.values())
+    assert [(t.stage, t.rows, t.failed) for t in told] == [("one", 40, 2), ("two", 40, 1), ("three", 40, 1), ("four", 40, 1), ("five", 40, 0)]
+    assert told[4].tries == 1 and told[0].tries > 8 and all(t.seconds > 0 for t in told)
+    assert {r.stage: r.rows for r in R.failures(out).collect()} == {"one": 2, "two": 1, "three": 1, "four": 1}
+
+
+def test_a_stage_that_fails_for_all_rows_or_for_a_repeated_or_null_key(spark):
+    every = [("all", lambda r: r.withColumn("state", F.raise_error(F.lit("bad")).cast("string")))]
+    out = R.run(records(spark, 5), every, cut=cut).collect()
+    assert len(out) == 5 and all(r.issues == ["stage all failed: SparkRuntimeException"] and r.state == "old" for r in out)
+    keyed = records(spark, 8).withColumn("row_id", F.when(F.col("row_id") < 3, F.lit(1)).when(F.col("row_id") > 5, None).otherwise(F.col("row_id")))
+    some = [("some", lambda r: r.withColumn("state", F.when(F.coalesce("row_id", F.lit(1)) == 1, F.raise_error(F.lit("bad"))).otherwise("new")))]
+    out = Counter((r.row_id, r.state, len(r.issues)) for r in R.run(keyed, some, cut=cut).collect())
+    assert out == {(1, "old", 1): 3, (None, "old", 1): 2, (3, "new", 0): 1, (4, "new", 0): 1, (5, "new", 0): 1}
+    assert R.run(records(spark, 0), every, cut=cut).count() == 0
+
+
+def test_errors_of_the_cluster_are_raised(spark):
+    def full(r, name):
+        raise OSError("No space left on device")
+
+    with pytest.raises(OSError, match="No space"):
+        R.run(records(spark), [("one", lambda r: r)], cut=full)
+
+
 def test_best_choice_takes_the_first_of_equals(spark):
     rows = spark.createDataFrame([("ab",), ("zz",), (None,)], "t string")
     got = {r.t: (r.b and (r.b.choice, r.b.score)) for r in rows.select("t", M.best_choice(F.col("t"), ["ba", "ab", "AB", "ab"], M.ratio).alias("b")).collect()}
