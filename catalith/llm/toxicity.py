@@ -166,13 +166,15 @@ def _kept_rows(keep: np.ndarray):
 FEATURE_ROWS = "positive boolean, draw long, places binary"
 
 
-def sample(docs: DataFrame, known: DataFrame, toxic: int, positives: int, unlabelled: int) -> DataFrame:
+def sample(docs: DataFrame, known: DataFrame, positives: int, unlabelled: int) -> DataFrame:
     """(positive, draw, text): bounded samples of both kinds, chosen by a hash of id and text."""
     draw = lambda *c: F.pmod(F.xxhash64(*[F.coalesce(F.col(x).cast("string"), F.lit("")) for x in c], F.lit("sample")), F.lit(1 << 40))
     within = lambda wanted, of: F.lit(int((1 << 40) * min(1.0, wanted / max(1, of))))
     texts = docs.filter(F.col("text").isNotNull()).select("doc_id", text_bytes().alias("text"), draw("doc_id", "text").alias("draw"))
-    confirmed = known.filter("toxic = 1").select("doc_id").filter(draw("doc_id") < within(positives, toxic))
-    of_toxic = texts.join(F.broadcast(confirmed), "doc_id")  # about `positives` ids, each once
+    toxic = known.filter("toxic = 1").select("doc_id")
+    # an id may stand at many texts: rows are drawn, by id and hash alone, and then found again
+    chosen = texts.drop("text").join(toxic, "doc_id").distinct().orderBy("draw", "doc_id").limit(positives)
+    of_toxic = texts.join(F.broadcast(chosen), ["doc_id", "draw"])
     others = texts.filter(F.col("draw") < within(unlabelled, docs.count()))
     both = of_toxic.select(F.lit(True).alias("positive"), "draw", "text").unionByName(others.select(F.lit(False).alias("positive"), "draw", "text"))
     return both.dropDuplicates(["positive", "draw"])
@@ -184,7 +186,7 @@ def fit(docs: DataFrame, labels: DataFrame, learn: Column, positives: int = POSI
     counts = known.agg(F.count("*").alias("n"), F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)).alias("toxic")).first()
     if not counts["toxic"]:
         return train([], [], 0.5)
-    drawn = written(sample(docs, known, counts["toxic"], positives, unlabelled).mapInArrow(_feature_rows, FEATURE_ROWS), "sample")
+    drawn = written(sample(docs, known, positives, unlabelled).mapInArrow(_feature_rows, FEATURE_ROWS), "sample")
     sizes = dict(drawn.groupBy("positive").count().collect())
     if len(sizes) < 2:
         return train([], [], 0.5)
