@@ -16,7 +16,6 @@ from catalith.operators import decisions as D
 from catalith.plans.proxy import OBS, observations
 from catalith.plans.registry_queries import FOLD, RESOLVED
 from catalith.plans.stage_queries import _BUNDLE, _bundle
-from catalith.plans.text_queries import _cases
 from catalith.session import prepare, table
 from catalith.sources import tables as T
 
@@ -153,17 +152,13 @@ _CONTEXT = f"""
 
 
 QUERIES = {
-    "o034_abbreviate": _cases(lambda c: X.abbreviate(c, X.literal_map({"cover": "CVR", "steel": "STL"})), [("Steel Cover, plate", "STL CVR plate"), ("x", "x"), ("COVER", "CVR")]),
-    "o050_plausible_abbreviation": (lambda s, d: _frame(s, "word string, short string", [("SURFACE", "SURF"), ("FIRST", "FT"), ("12000", "120"), ("STEEL", "STEE"), ("COVER", "CVR")]).select("word", "short", X.plausible_abbreviation(F.col("word"), F.col("short")).alias("out")), "SELECT * FROM (VALUES ('SURFACE', 'SURF', true), ('FIRST', 'FT', false), ('12000', '120', false), ('STEEL', 'STEE', true), ('COVER', 'CVR', true)) AS t(word, short, out)"),
     "o052_render": (lambda s, d: _t("part")(s, d).select("p_partkey", X.render(F.col("p_name"), F.lit("-"), F.when(F.col("p_partkey") % 2 == 0, "Kit").otherwise("")).alias("out")), "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_name || '-Kit' ELSE p_name END AS out FROM part"),
     "o053_rendered_attribute": (lambda s, d: _t("part")(s, d).select("p_partkey", X.rendered_attribute(F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, "in").otherwise("")).alias("out"), X.is_filled(F.when(F.col("p_partkey") % 3 == 0, "n/a").otherwise("x")).alias("filled")), "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN p_size || ' in' ELSE CAST(p_size AS VARCHAR) END AS out, p_partkey % 3 <> 0 AS filled FROM part"),
-    "o056_head": (lambda s, d: _frame(s, "m string, b string", [("Whirlpool Corporation", "Whirlpool®"), ("", "Acme"), ("Acme", ""), ("Big", "Big Brand"), ("A", "B")]).select("m", "b", Y.mobile_head(F.col("m"), F.col("b")).alias("out")), "SELECT * FROM (VALUES ('Whirlpool Corporation', 'Whirlpool®', 'Whirlpool'), ('', 'Acme', 'Acme'), ('Acme', '', 'Acme'), ('Big', 'Big Brand', 'Big Brand'), ('A', 'B', 'A B')) AS t(m, b, out)"),
     "o069_usable": (lambda s, d: _t("pages")(s, d).select("page_id", I.is_usable(F.when(F.col("page_id") % 4 == 0, 404).otherwise(200), F.when(F.col("page_id") % 3 == 0, "").otherwise("x"), F.array_repeat(F.lit("p"), (F.col("page_id") % 2).cast("int"))).alias("ok")), "SELECT page_id, page_id % 4 <> 0 AND (page_id % 3 <> 0 OR page_id % 2 = 1) AS ok FROM pages"),
     "o084_plausible_series": (_series, f"WITH {OBS} SELECT row_id % 2 <> 0 AS unknown, CASE WHEN row_id % 2 = 0 AND row_id % 3 = 2 THEN flag WHEN row_id % 2 <> 0 AND row_id % 3 = 0 THEN 'Sahara Series' ELSE '' END AS series, count(*) AS n FROM obs GROUP BY ALL"),
     "o094_official_domain": (_official, "SELECT p_partkey, lower(string_split(p_type, ' ')[1]) || '.com' AS domain FROM part"),
     "o096_canonical_brand": (_canonical, f"WITH {OBS} SELECT row_id, brand AS approved FROM obs"),
     "o101_template_lookup": (_template, f"WITH {OBS} SELECT row_id, '{_FLAT}' AS labels FROM obs WHERE fine = '7'"),
-    "o102_header_difference": (lambda s, d: J.header_difference(["a", "c", "b", "x"], ["a", "b", "c", "d"], prepare(s)).select("header", "problem"), "SELECT * FROM (VALUES ('c', 'misordered'), ('b', 'misordered'), ('x', 'added'), ('d', 'missing')) AS t(header, problem)"),
     "o116_asset_prefix": (lambda s, d: _t("part")(s, d).select("p_partkey", R.asset_prefix(F.concat(F.replace("p_brand", F.lit("#"), F.lit("_")), F.lit("__"), F.when(F.col("p_partkey") % 3 > 0, F.upper(F.replace("p_name", F.lit(" "), F.lit("_")))).otherwise("other"), F.lit("_1.jpg")), F.col("p_name")).alias("prefix")), "SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN replace(p_brand, '#', '_') ELSE '' END AS prefix FROM part"),
     "o118_average_style": (lambda s, d: Y.average(_t("part")(s, d).select(F.col("p_type").alias("classpath"), F.lit("long").alias("surface"), F.col("p_brand").alias("label_key"), F.lit(" ").alias("separator"), F.when(F.col("p_partkey") % 5 > 0, "Kit").otherwise("Set").alias("suffix"), (F.col("p_size") / 100).alias("inclusion"), F.col("p_size").cast("double").alias("rank"), F.lit(1).alias("rows"))).select("label_key", "rank", "inclusion"), "SELECT p_brand AS label_key, median(p_size)::DOUBLE AS rank, round_even(avg(p_size / 100), 3) AS inclusion FROM part GROUP BY 1"),
     "o121_candidate_votes": (lambda s, d: retrieval.rank_candidates(_votes(s, d), _options(s, d)).select("query_id", "classpath", F.bround("votes", 5).alias("votes")), f"WITH {_E}, {_O} SELECT query_id, classpath, round_even(sum(score), 5) AS votes FROM e JOIN o USING (query_id, classpath) GROUP BY ALL"),

@@ -396,7 +396,6 @@ QUERIES = {
     "o003_fingerprint": (_fingerprints, None),
     "o004_upload": (_uploaded, "SELECT CAST(p_partkey AS VARCHAR) AS part_number, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE '' END AS sku, '--' AS fine FROM part"),
     "o005_header": (lambda s, d: prepare(s).createDataFrame(list(enumerate(T.header(_t("part")(s, d)))), "place int, name string"), "SELECT CAST(row_number() OVER () - 1 AS INT) AS place, column_name AS name FROM (DESCRIBE part)"),
-    "o006_delivery_columns": (lambda s, d: prepare(s).createDataFrame([(n,) for n in T.delivery_columns(["a"] * 12, ["m"] * 6, ["t"] * 47)], "name string").groupBy(F.regexp_replace("name", " ?_?[0-9]+$", "").alias("family")).agg(F.count("*").alias("n")).filter("n >= 5 and family not in ('a', 'm', 't')"), "SELECT * FROM (VALUES ('Ref URL', 5::BIGINT), ('ITEM_FEATURES', 20), ('ATTRIBUTE_LABEL', 50), ('ATTRIBUTE_VALUE', 50), ('ATTRIBUTE_UOM', 50)) AS t(family, n)"),
     "o007_append": (_appended, f"WITH {_LOG} SELECT part_number, status, series FROM w"),
     "o009_snapshot": (_snapshot, f"WITH {OBS} SELECT lower(dept) AS dept, lower(class) AS class, lower(fine) AS fine, classpath, count(*) AS n FROM obs GROUP BY ALL"),
     "o010_payload_projection": (_payloads, f"WITH {OBS} SELECT brand, arg_min(manufacturer, row_id) AS manufacturer FROM obs GROUP BY brand"),

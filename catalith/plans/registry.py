@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from catalith.plans import more_queries, record_queries, registry_queries, stage_queries, text_queries
+from catalith.plans import more_queries, part_queries, record_queries, registry_queries, run_queries, stage_queries, text_queries
 
-PARTS = [registry_queries.QUERIES, text_queries.QUERIES, stage_queries.QUERIES, more_queries.QUERIES, record_queries.QUERIES]
+PARTS = [registry_queries.QUERIES, text_queries.QUERIES, stage_queries.QUERIES, more_queries.QUERIES, record_queries.QUERIES, part_queries.QUERIES, run_queries.QUERIES]
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

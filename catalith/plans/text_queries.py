@@ -96,54 +96,22 @@ _NEIGHBOURS_SQL = f"""
     SELECT query_id, row_id, round_even(score, 6) AS score, rank FROM k WHERE rank <= 3"""
 
 
-def _fixture(columns: str, rows: list[tuple], fn):
-    """A function over fixed inputs that exercise its rules; the SQL holds the expected results."""
-    return lambda s, d: prepare(s).createDataFrame(rows, columns).select("input", fn(F.col("input")).alias("out"))
-
-
-def _values(rows: list[tuple[str, str]]) -> str:
-    text = lambda v: "NULL" if v is None else "'" + v.replace("'", "''") + "'"
-    return "SELECT * FROM (VALUES " + ", ".join(f"({text(a)}, {text(b)})" for a, b in rows) + ") AS t(input, out)"
-
-
-def _cases(fn, rows: list[tuple[str | None, str]]):
-    return _fixture("input string", [(a,) for a, _ in rows], fn), _values(rows)
-
-
 QUERIES = {
-    "o022_is_placeholder": (lambda s, d: prepare(s).createDataFrame([("--",), ("None",), ("-- No Brand --",), (" n/a ",), ("GE",), (None,)], "input string").select("input", X.is_placeholder(F.col("input")).alias("out")), "SELECT * FROM (VALUES ('--', true), ('None', true), ('-- No Brand --', true), (' n/a ', true), ('GE', false), (NULL, true)) AS t(input, out)"),
     "o023_clean": (_on_docs(X.clean), _md5(f"CASE WHEN {_FOLDED.format(_SQUEEZED)} IN {_PLACEHOLDERS} THEN '' ELSE {_SQUEEZED} END")),
-    "o024_strip_condition": _cases(X.strip_condition, [("PDSH4816AF Dishwasher SS - Display Only", "PDSH4816AF Dishwasher SS"), ("Drill (Refurbished)", "Drill"), ("Display", "Display"), ("Saw - Scratch & Dent", "Saw"), ("LED Display Panel", "LED Display Panel"), ("Range - open box", "Range")]),
     "o025_repair_symbols": (_on_docs(lambda c: X.repair_symbols(F.replace(c, F.lit("th"), F.lit("Â®")))), _md5("replace(text, 'th', '®')")),
     "o026_strip_symbols": (_on_docs(lambda c: X.strip_symbols(F.replace(c, F.lit("en"), F.lit("®™")))), _md5("replace(text, 'en', '')")),
-    "o027_country_name": _cases(X.country_name, [("CN", "China"), ("us.", "United States"), ("Taiwan", "Taiwan"), ("zz", "zz"), ("", "")]),
-    "o028_canonical_unit": _cases(X.canonical_unit, [("Inches", "in"), ("LBS.", "lb"), ("vac", "V AC"), ("kwh", "kW-hr"), ("furlong", "furlong"), ("--", "")]),
-    "o029_space_units": _cases(X.space_units, [("24in x 3FT", "24 in x 3 ft"), ("120v 15A 60hz", "120 V 15 A 60 Hz"), ("5 rpm", "5 RPM"), ("S6601A", "S6601 A"), ("inch", "inch")]),
-    "o030_measure_text": _cases(M.measure_text, [('50.25" H', "50-1/4 in H"), ("42 3/4in", "42 3/4 in"), ("42 3/4 in", "42-3/4 in"), ("5.6 in", "5-5/8 in"), ("6' cord", "6 ft cord"), ("1.68 gal", "1.68 gal"), ("v1.5 24IN", "v1.5 24 in")]),
-    "o031_title_case": _cases(X.title_case, [("led flood light with pir", "LED Flood Light with Pir"), ("THE BIG saw", "THE BIG Saw"), ("gfci outlet 15a for the home", "GFCI Outlet 15a for the Home"), ("of mice", "Of Mice"), ("(pvc) pipe", "(PVC) Pipe")]),
     "o032_truncate_clean": (_truncated, f"WITH o AS (SELECT doc_id, {_SQUEEZED} AS t FROM documents), c AS (SELECT *, t[1:60] AS cut FROM o) SELECT doc_id, CASE WHEN length(t) <= 60 THEN t ELSE regexp_replace(CASE WHEN contains(cut, ' ') THEN regexp_replace(cut, ' [^ ]*$', '') ELSE cut END, '[ ,;:\\-|/]+$', '') END AS short FROM c"),
-    "o033_invoice_line": _cases(X.invoice_line_folded, [("stainless steel duplex receptacle cover with mounting bracket", "SST DUPLEX RCPT COVER WITH MTG BRACKET"), ("short line", "SHORT LINE"), ("industrial square toggle switch cover plate black", "INDL SQ TOGGLE SWITCH COVER PLATE BLACK")]),
-    "o035_glue_units": _cases(X.glue_units, [("120 V 15 A", "120V 15A"), ("24 IN x 2 FT", "24IN x 2FT"), ("24 in", "24 in"), (None, "")]),
     "o036_bare_number": (lambda s, d: table(prepare(s), d, "documents").select("doc_id", F.explode(F.split("text", " ")).alias("w")).groupBy(X.is_bare_number(F.col("w")).alias("bare")).agg(F.count("*").alias("n")), "WITH w AS (SELECT unnest(string_split(text, ' ')) AS w FROM documents) SELECT regexp_full_match(trim(w), '[\\d.,/\\s-]+') AS bare, count(*) AS n FROM w GROUP BY 1"),
     "o037_decimal_to_fraction": (_measures, "WITH x AS (SELECT DISTINCT CAST(l_quantity AS DOUBLE) / 64 AS x FROM lineitem), p AS (SELECT x, CAST(floor(x) AS BIGINT) AS w, CAST(round_even((x - floor(x)) * 64, 0) AS BIGINT) AS t FROM x), g AS (SELECT *, CASE WHEN t % 32 = 0 THEN 32 WHEN t % 16 = 0 THEN 16 WHEN t % 8 = 0 THEN 8 WHEN t % 4 = 0 THEN 4 WHEN t % 2 = 0 THEN 2 ELSE 1 END AS c FROM p) SELECT round_even(x, 6) AS x, CASE WHEN t = 0 THEN CAST(w AS VARCHAR) WHEN w = 0 THEN CAST(t // c AS VARCHAR) || '/' || CAST(64 // c AS VARCHAR) ELSE CAST(w AS VARCHAR) || '-' || CAST(t // c AS VARCHAR) || '/' || CAST(64 // c AS VARCHAR) END AS fraction FROM g"),
-    "o038_fractions_in_text": _cases(M.fractions_in_text, [("0.5 in and 50.25", "1/2 in and 50-1/4"), ("42 3/4", "42-3/4"), ("v1.5", "v1.5"), ("1.68 gal", "1.68 gal"), ("3.0 ft", "3 ft")]),
-    "o039_snap_decimal_inches": _cases(M.snap_decimal_inches, [("5.6 in", "5-5/8 in"), ("8.5in", "8-1/2 in"), ('3.25"', "3-1/4 in"), ("5.6 mm", "5.6 mm"), ("0.99 in", "1 in")]),
-    "o039_snap_inches": _cases(M.snap_inches, [("5.6", "5-5/8"), ("0.5", "1/2"), ("2.99", "3"), ("7.01", "7"), ("abc", "abc")]),
     "o040_match_key": (lambda s, d: table(prepare(s), d, "part").select("p_partkey", X.match_key(F.concat_ws(" ", F.lit("The"), "p_name", F.lit("(CODE) Mfg Co. Inc"))).alias("key")), "SELECT p_partkey, trim(regexp_replace(lower(p_name), '[^a-z0-9]+', ' ', 'g')) AS key FROM part"),
     "o041_fold": (_on_docs(X.fold), _md5(f"regexp_replace({_FOLDED.format('text')}, '[^a-z0-9]+', '', 'g')")),
     "o041_compare_key": (_on_docs(X.compare_key), _md5(f"trim(regexp_replace({_FOLDED.format('text')}, '[^a-z0-9 ]+', ' ', 'g'))")),
     "o043_slug": (lambda s, d: table(prepare(s), d, "part").select("p_partkey", X.slug(F.concat(F.lit(" ("), "p_name", F.lit(")® "), "p_brand")).alias("slug")), "SELECT p_partkey, trim(regexp_replace(p_name || ' ' || p_brand, '[^A-Za-z0-9]+', '_', 'g'), '_') AS slug FROM part"),
-    "o044_dimensions": (lambda s, d: prepare(s).createDataFrame([("33-7/16 in H x 23-7/8 in W x 22-5/8 in D",), ("5 cm L",), ("none",)], "input string").select("input", F.array_join(F.transform(M.dimensions(F.col("input")), lambda x: F.concat_ws(":", x["axis"], x["value"], x["unit"])), ",").alias("out")), _values([("33-7/16 in H x 23-7/8 in W x 22-5/8 in D", "HEIGHT:33-7/16:in,WIDTH:23-7/8:in,LENGTH:22-5/8:in"), ("5 cm L", "LENGTH:5:cm"), ("none", "")])),
-    "o045_split_measure": (lambda s, d: prepare(s).createDataFrame([("24 inches",), ("1/2 in",), ("5.6 in",), ("42 3/4 in",), ("blue",)], "input string").select("input", F.concat_ws("|", M.split_measure(F.col("input"))["value"], M.split_measure(F.col("input"))["unit"]).alias("out")), _values([("24 inches", "24|in"), ("1/2 in", "1/2|in"), ("5.6 in", "5-5/8|in"), ("42 3/4 in", "42-3/4|in"), ("blue", "blue|")])),
-    "o046_singular": _cases(X.singular, [("Cycles", "Cycl"), ("Batteries", "Battery"), ("Stainless", "Stainless"), ("Boxes", "Box"), ("Bus", "Bus"), ("As", "As")]),
-    "o046_plural": _cases(X.plural, [("Cycle", "Cycles"), ("Battery", "Batteries"), ("Box", "Boxes"), ("Key", "Keys"), ("Switch", "Switches")]),
-    "o049_is_abbreviation": (lambda s, d: prepare(s).createDataFrame([("SURF", "SURFACE"), ("SFC", "SURFACE"), ("STL", "STEEL"), ("LST", "STEEL"), ("STEEL", "STEEL")], "short string, word string").select("short", "word", X.is_abbreviation(F.col("short"), F.col("word")).alias("out")), "SELECT * FROM (VALUES ('SURF', 'SURFACE', true), ('SFC', 'SURFACE', true), ('STL', 'STEEL', true), ('LST', 'STEEL', false), ('STEEL', 'STEEL', false)) AS t(short, word, out)"),
     "o054_item_type": (lambda s, d: table(prepare(s), d, "part").select("p_partkey", X.item_type(F.concat_ws(" > ", "p_type", F.concat("p_name", F.lit("s")))).alias("kind")), "SELECT p_partkey, p_name AS kind FROM part"),
     "o055_noun_first": (lambda s, d: table(prepare(s), d, "part").select("p_partkey", X.noun_first(F.col("p_name")).alias("out")), "SELECT p_partkey, array_to_string(list_reverse(string_split(p_name, ' ')), ' ') AS out FROM part"),
     "o057_query_text": (_on_docs(X.query_text), _md5(f"lower({_SQUEEZED})")),
     "o058_valid_gtin": (lambda s, d: _codes(s, d).select("p_partkey", "code", I.valid_gtin(F.col("code")).alias("valid")), f"WITH c AS (SELECT p_partkey, substr(lpad(CAST(p_partkey * 7919 AS VARCHAR), 13, '0') || CAST(p_partkey % 10 AS VARCHAR), 15 - n, n) AS code FROM part, (VALUES (8), (12), (13), (14)) AS t(n)) SELECT p_partkey, code, {_VALID} AS valid FROM c"),
     "o059_find_gtins": (lambda s, d: _codes(s, d).groupBy("p_partkey").agg(F.array_join(I.find_gtins(F.array_join(F.array_sort(F.collect_list("code")), " x ")), ",").alias("found")), f"WITH c AS (SELECT p_partkey, substr(lpad(CAST(p_partkey * 7919 AS VARCHAR), 13, '0') || CAST(p_partkey % 10 AS VARCHAR), 15 - n, n) AS code, n FROM part, (VALUES (8), (12), (13), (14)) AS t(n)) SELECT p_partkey, coalesce(string_agg(code, ',' ORDER BY code) FILTER (n > 8 AND {_VALID}), '') AS found FROM c GROUP BY 1"),
-    "o060_labelled_barcodes": (lambda s, d: prepare(s).createDataFrame([("UPC: 036000291452, EAN #4006381333931 and GTIN 1234",), ("upc 036000291453",)], "input string").select("input", F.array_join(F.transform(I.labelled_barcodes(F.col("input")), lambda x: F.concat_ws("=", x["target"], x["code"])), ",").alias("out")), _values([("UPC: 036000291452, EAN #4006381333931 and GTIN 1234", "UPC=036000291452,GTIN=4006381333931"), ("upc 036000291453", "")])),
     "o061_gtin14": (lambda s, d: _codes(s, d).select("p_partkey", "code", I.gtin14(F.col("code")).alias("out")), "WITH c AS (SELECT p_partkey, substr(lpad(CAST(p_partkey * 7919 AS VARCHAR), 13, '0') || CAST(p_partkey % 10 AS VARCHAR), 15 - n, n) AS code FROM part, (VALUES (8), (12), (13), (14)) AS t(n)) SELECT p_partkey, code, CASE WHEN length(code) = 12 THEN '00' || code ELSE code END AS out FROM c"),
     "o062_mentions": (lambda s, d: _hosts(s, d).select("page_id", I.mentions(F.col("url"), F.lit("Example-Com")).alias("hit"), I.mentions(F.col("url"), F.lit("e/")).alias("short")), "SELECT page_id, contains(regexp_replace(lower(url), '[^a-z0-9]+', '', 'g'), 'examplecom') AS hit, false AS short FROM pages"),
     "o067_document_kind": (lambda s, d: _hosts(s, d).select("page_id", I.document_kind(F.concat("url", F.when(F.col("page_id") % 3 == 0, "/install.pdf").when(F.col("page_id") % 3 == 1, "/spec-sheet-owner").otherwise("")), F.lit("")).alias("kind")), "SELECT page_id, CASE page_id % 3 WHEN 0 THEN 'manual' WHEN 1 THEN 'specification' ELSE 'other' END AS kind FROM pages"),
@@ -154,7 +122,6 @@ QUERIES = {
     "o082_is_reputable": (lambda s, d: _hosts(s, d).select("page_id", I.is_reputable(F.col("url"), ["example.org", "example.net"], ["example.net"], []).alias("ok")), f"WITH h AS (SELECT page_id, {_HOST} AS host FROM pages) SELECT page_id, {_REG} = 'example.org' AS ok FROM h"),
     "o091_is_allowed": (lambda s, d: _hosts(s, d).select("page_id", I.is_allowed(F.col("url"), F.array(F.lit("www.example.com"), F.lit("")), ["example.org"], ["example.net"]).alias("ok")), f"WITH h AS (SELECT page_id, {_HOST} AS host FROM pages) SELECT page_id, {_REG} IN ('example.com', 'example.net') AS ok FROM h"),
     "o133_domains_for": (lambda s, d: _hosts(s, d).select("page_id", F.array_join(I.domains_for(F.col("url"), F.lit("brand.com"), F.lit("www.brand.com"), ["example.org"]), ",").alias("domains")), f"WITH h AS (SELECT page_id, {_HOST} AS host FROM pages) SELECT page_id, CASE WHEN {_REG} = 'example.org' THEN 'brand.com' ELSE array_to_string(list_sort(['brand.com', {_REG}]), ',') END AS domains FROM h"),
-    "o183_unwrapped": _cases(I.unwrapped, [("https://s.io/l/?uddg=https%3A%2F%2Fa.com%2Fx&r=1", "https://a.com/x"), ("https://a.com/y", "https://a.com/y")]),
     "o071_similarity": (_similar_names, None),
     "o097_neighbours": (_neighbours, _NEIGHBOURS_SQL),
 }

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from catalith.functions.fixed_values import INPUT_COLUMNS
 from catalith.functions.text import cell, clean, repair_symbols
+from catalith.sources import workbooks
 
 ATTRIBUTES, FEATURES, CACHE_VERSION, TEXT_MOST, LINKS_MOST = 50, 20, 3, 200_000, 60
 
@@ -16,18 +17,21 @@ def strings(columns: list[str]) -> T.StructType:
     return T.StructType([T.StructField(c, T.StringType()) for c in columns])
 
 
-def scan(spark: SparkSession, path: str, columns: list[str] | None = None, kind: str = "csv") -> DataFrame:
-    """O-001, O-002. A table of strings with repaired symbols; with `columns`, only those are read."""
+def scan(spark: SparkSession, path: str, columns: list[str] | None = None, kind: str = "csv", sheet: str | int = 0) -> DataFrame:
+    """O-001, O-002. A table of strings with repaired symbols; with `columns`, only those are read. kind: csv, parquet, or xlsx, of which `sheet` is read."""
     reader = spark.read
-    df = reader.option("header", True).option("inferSchema", False).csv(path) if kind == "csv" else reader.parquet(path)
+    if kind == "xlsx":
+        df = workbooks.scan(spark, path, sheet, columns)
+    else:
+        df = reader.option("header", True).option("inferSchema", False).csv(path) if kind == "csv" else reader.parquet(path)
     if columns:
         df = df.select(*[F.col(f"`{c}`") for c in columns])
     return df.select([F.when(F.col(f"`{c}`").isNotNull(), repair_symbols(F.col(f"`{c}`").cast("string"))).alias(c) for c in df.columns])
 
 
-def upload(spark: SparkSession, path: str) -> DataFrame:
-    """O-004. An uploaded CSV: strings, null as empty, PART_NUMBER needed."""
-    df = spark.read.option("header", True).option("inferSchema", False).csv(path).na.fill("")
+def upload(spark: SparkSession, path: str, kind: str = "csv") -> DataFrame:
+    """O-004. An uploaded CSV or workbook: strings, null as empty, PART_NUMBER needed."""
+    df = (workbooks.scan(spark, path) if kind == "xlsx" else spark.read.option("header", True).option("inferSchema", False).csv(path)).na.fill("")
     if "PART_NUMBER" not in df.columns:
         raise ValueError("the upload has no PART_NUMBER column")
     return df
