@@ -12,12 +12,15 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from catalith.functions.similarity import ratio_column, token_set_column, token_sort_column
+from catalith.functions.similarity import ratio_column, token_sort_column
 from catalith.functions.text import clean, folded, match_key
 from catalith.operators.registry import Registry, stem_of, words_of
+from catalith.operators.snap import best
 
 SHORT, PREFIX_LEAST, LENGTHS, FLOOR, TEMPLATE_FLOOR, TRUSTED = 3, 6, 0.55, 88.0, 70.0, 0.75
 FALLBACK_LIMIT = 25
+#: A floor that is tried before the one that counts: most paths that are like another one are very like it.
+TEMPLATE_LEVELS = (85.0,)
 
 
 def first_match_join(left: DataFrame, right: DataFrame, key: str, order: str) -> DataFrame:
@@ -182,14 +185,10 @@ def template_for(rows: DataFrame, templates: DataFrame, leaves: DataFrame, path:
     leaf = leaves.join(templates, "classpath", "left").select("leaf", F.coalesce("labels", F.array().cast("array<string>")).alias("_leaf"))
     out = rows.withColumn("leaf", F.trim(F.element_at(F.split(path, ">"), -1))).join(own, path, "left").join(leaf, "leaf", "left")
     lost = out.filter("_own is null and _leaf is null").select(F.col(path).alias("_p")).distinct()
-    word = lambda c: F.explode(F.array_distinct(F.split(c, " ")))
-    # token sets that score 70 share a word, or else are as similar as their words in order, which share their rarest letters
-    by_word = lost.select("_p", word(F.col("_p")).alias("w")).join(templates.select("classpath", word(F.col("classpath")).alias("w")), "w").select("_p", "classpath")
-    by_letter = close_pairs(lost.select(F.col("_p").alias("key")), templates.select(F.col("classpath").alias("match")), TEMPLATE_FLOOR, sorted_words, 1)
-    pairs = by_word.unionByName(by_letter.toDF("_p", "classpath")).distinct()
-    best = pairs.withColumn("score", token_set_column(F.col("_p"), F.col("classpath"))).filter(F.col("score") >= TEMPLATE_FLOOR)
-    best = best.groupBy("_p").agg(F.max_by("classpath", F.struct("score", "classpath")).alias("classpath")).join(templates, "classpath").select(F.col("_p").alias(path), F.col("labels").alias("_near"))
-    return out.join(best, path, "left").select(*rows.columns, F.coalesce("_own", "_leaf", "_near", F.array().cast("array<string>")).alias("labels"))
+    listed = templates.select(F.col("classpath").alias("value"), F.col("classpath").alias("priority"))
+    found = best(lost.withColumnRenamed("_p", "key"), listed, [], TEMPLATE_FLOOR, "token_set", last=True, levels=TEMPLATE_LEVELS)
+    near = found.join(templates.select(F.col("classpath").alias("value"), F.col("labels").alias("_near")), "value").select(F.col("key").alias(path), "_near")
+    return out.join(near, path, "left").select(*rows.columns, F.coalesce("_own", "_leaf", "_near", F.array().cast("array<string>")).alias("labels"))
 
 
 def header_difference(have: list[str], want: list[str], spark) -> DataFrame:

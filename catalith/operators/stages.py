@@ -10,11 +10,11 @@ from pyspark.sql import functions as F
 
 from catalith.functions import fixed_values as V
 from catalith.functions.measure import dimensions, measure_text
-from catalith.functions.similarity import weighted_column
 from catalith.functions.text import clean, folded, slug, title_case, truncate_clean
 from catalith.operators import retrieval
 from catalith.operators.registry import Registry
 from catalith.operators.resolve import candidates, resolve
+from catalith.operators.snap import best
 
 REVIEW_BELOW, SEVERE_MOST = 0.65, 3
 
@@ -110,8 +110,8 @@ def resolve_attributes(wanted: DataFrame, extracted: DataFrame, evidence: DataFr
     out = w.join(model, ["row_id", "label_key"], "left").join(pages, ["row_id", "label_key"], "left").join(free, key, "left").join(units, key, "left").join(exact, [*key, "m_value"], "left")
     limited = ~F.coalesce("free_text", F.lit(True))
     lost = out.filter(limited & F.col("m_value").isNotNull() & F.col("listed").isNull()).select(*key, "m_value").distinct()
-    snapped = lost.join(registry.values.select(*key, "value", "n", "first"), key).withColumn("score", weighted_column(F.col("m_value"), F.col("value")))
-    snapped = snapped.filter("score >= 85").groupBy(*key, "m_value").agg(F.max_by(F.struct("value", "score"), F.struct("score", "n", -F.col("first"))).alias("snap"))
+    listed = registry.values.select(*key, "value", F.struct(-F.col("n"), "first").alias("priority"))
+    snapped = best(lost.withColumnRenamed("m_value", "key"), listed, key, 85.0).select(*key, F.col("key").alias("m_value"), F.struct("value", "score").alias("snap"))
     out = out.join(snapped, [*key, "m_value"], "left")
     has = F.col("m_value").isNotNull()
     kinds = [
@@ -135,11 +135,15 @@ def plausible_series(rows: DataFrame, values: DataFrame) -> DataFrame:
     """O-084. rows (row_id, classpath, series) with the series where the path's list has it or one at 90 or more; where the path has no list, names that end like a series."""
     own = values.filter("label_key = 'series'").select("classpath", "value")
     asked = rows.withColumn("series", clean(F.col("series"))).filter("series <> ''")
-    pairs = asked.select("classpath", "series").distinct().join(own, "classpath").withColumn("score", F.when(F.col("series") == F.col("value"), 101.0).otherwise(weighted_column(F.col("series"), F.col("value"))))
-    best = pairs.groupBy("classpath", "series").agg(F.max_by(F.struct("value", "score"), F.struct("score", "value")).alias("b"))
-    out = rows.withColumn("series", clean(F.col("series"))).join(best, ["classpath", "series"], "left")
+    # equal ones go first, then the highest score, the last in order of the alphabet among equals
+    like = best(asked.select("classpath", F.col("series").alias("key")), own.withColumn("priority", F.col("value")), ["classpath"], 90.0, last=True)
+    same = own.select("classpath", F.col("value").alias("series"), F.col("value").alias("same")).distinct()
+    near = like.select("classpath", F.col("key").alias("series"), F.col("value").alias("near"))
+    listed = own.select("classpath").distinct().withColumn("listed", F.lit(True))
+    out = rows.withColumn("series", clean(F.col("series"))).join(same, ["classpath", "series"], "left").join(near, ["classpath", "series"], "left").join(listed, "classpath", "left")
     shaped = F.lower("series").rlike(r"(^| )(series|line|collection|family)$") & (F.length("series") > 6)
-    return out.withColumn("series", F.when(F.col("b.score") >= 90, F.col("b.value")).when(F.col("b").isNull() & shaped, F.col("series")).otherwise("")).drop("b")
+    found = F.coalesce("same", "near")
+    return out.withColumn("series", F.when(found.isNotNull(), found).when(F.col("listed").isNull() & shaped, F.col("series")).otherwise("")).drop("same", "near", "listed")
 
 
 def source_stage(rows: DataFrame, assets: DataFrame) -> DataFrame:
