@@ -2,8 +2,15 @@
 
 A word is padded with one space on each side; for n from 3 to 5 all its n-grams count, and a padded word no longer than n
 counts once and ends there. Weights are (1 + ln tf) * (ln((1 + N) / (1 + df)) + 1), scaled to length one. A query's grams
-that no labelled row has are dropped before scaling. Rows are matched by an equi-join on the gram; scores are summed, which
-combines on the map side. Equal scores are ordered by descending row_id.
+that no labelled row has are dropped before scaling.
+
+The k best are found with bounds. Grams of at most `HEAVY` rows are met first, by an equi-join; a query's k-th best sum of these is a floor under its k-th best score. What the other grams, each with its greatest
+weight, can add at most tells what is left to do:
+
+* less than the floor: no row that shares only those can be among the best. Of the rows found, those that could still reach the floor get their scores completed, row by row.
+* the floor or more: the query is open, and meets the rows of the frequent grams too, each dealt out over parts of at most `HEAVY` rows.
+
+So no key of a join holds more than `HEAVY` rows, and results are those of adding up all grams. Scores are ordered by nine digits, equal ones by descending row_id.
 """
 
 from __future__ import annotations
@@ -14,6 +21,7 @@ from pyspark.sql import functions as F
 from catalith.functions.text import query_text
 
 SMALLEST, LARGEST = 3, 5
+HEAVY, NEARLY = 2_000, 1e-9
 
 
 def grams(c: Column) -> Column:
@@ -37,10 +45,10 @@ def postings(rows: DataFrame, id_column: str, text: str) -> DataFrame:
 
 
 def weights(tf: DataFrame, idf: DataFrame, id_column: str) -> DataFrame:
-    """(id, gram, weight), scaled to length one for each id."""
+    """(id, gram, weight, df), scaled to length one for each id."""
     raw = tf.join(idf, "gram").withColumn("raw", (1 + F.ln("tf")) * F.col("idf"))
     norm = raw.groupBy(id_column).agg(F.sqrt(F.sum(F.col("raw") * F.col("raw"))).alias("norm"))
-    return raw.join(norm, id_column).select(id_column, "gram", (F.col("raw") / F.col("norm")).alias("weight"))
+    return raw.join(norm, id_column).select(id_column, "gram", (F.col("raw") / F.col("norm")).alias("weight"), "df")
 
 
 class Index:
@@ -51,16 +59,48 @@ class Index:
         total = rows.filter(F.size(grams(F.col(text))) >= 0).agg(F.count("*").alias("rows"))
         df = tf.groupBy("gram").agg(F.count("*").alias("df"))
         # one row of totals beside each gram: a join with a table of exactly one row
-        self.idf = df.join(F.broadcast(total)).select("gram", (F.ln((1 + F.col("rows")) / (1 + F.col("df"))) + 1).alias("idf"))
+        self.idf = df.join(F.broadcast(total)).select("gram", "df", (F.ln((1 + F.col("rows")) / (1 + F.col("df"))) + 1).alias("idf"))
         self.rows, self.id_column = rows, id_column
         self.weights = weights(tf, self.idf, id_column)
 
-    def neighbours(self, queries: DataFrame, k: int, text: str = "text", query_id: str = "query_id") -> DataFrame:
-        """O-097. (query_id, row_id, score, rank) of the k most similar rows of each query."""
+    def _parts(self, queries: DataFrame, k: int, text: str, query_id: str, heavy: int) -> dict[str, DataFrame]:
+        own = self.id_column
         asked = weights(postings(queries, query_id, text), self.idf, query_id).withColumnRenamed("weight", "asked")
-        scores = asked.join(self.weights, "gram").groupBy(query_id, self.id_column).agg(F.sum(F.col("asked") * F.col("weight")).alias("score"))
-        order = Window.partitionBy(query_id).orderBy(F.desc("score"), F.desc(self.id_column))
-        return scores.filter("score > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+        often = F.col("df") > heavy
+        light = asked.filter(~often).select(query_id, "gram", "asked").join(self.weights.filter(~often), "gram").groupBy(query_id, own).agg(F.sum(F.col("asked") * F.col("weight")).alias("part"))
+        place = F.row_number().over(Window.partitionBy(query_id).orderBy(F.desc("part")))
+        floor = light.withColumn("_n", place).filter(F.col("_n") <= k).groupBy(query_id).agg(F.max(F.when(F.col("_n") == k, F.col("part"))).alias("floor"))
+        common, frequent = asked.filter(often), self.weights.filter(often)
+        most = frequent.groupBy("gram").agg(F.max("weight").alias("most"))
+        rest = common.join(most, "gram").groupBy(query_id).agg(F.sum(F.col("asked") * F.col("most")).alias("rest"))
+        state = rest.join(floor, query_id, "left").withColumn("floor", F.coalesce("floor", F.lit(0.0))).withColumn("open", F.col("rest") >= F.col("floor") - NEARLY)
+        found = light.join(state, query_id, "left")
+        plain = found.filter("open is null").select(query_id, own, F.col("part").alias("score"))  # without frequent grams
+        close = found.filter("not open").filter(F.col("part") + F.col("rest") >= F.col("floor") - NEARLY).select(query_id, own, "part")
+        more = close.select(query_id, own).join(frequent.select(own, "gram", "weight"), own).join(common.select(query_id, "gram", "asked"), [query_id, "gram"])
+        more = more.groupBy(query_id, own).agg(F.sum(F.col("asked") * F.col("weight")).alias("more"))
+        completed = close.join(more, [query_id, own], "left").select(query_id, own, (F.col("part") + F.coalesce("more", F.lit(0.0))).alias("score"))
+        salts = F.floor((F.col("df") - 1) / heavy) + 1
+        wide = state.filter("open").select(query_id)
+        dealt = common.join(wide, query_id, "left_semi").withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), salts - 1)))
+        met = dealt.select(query_id, "gram", "salt", "asked").join(frequent.withColumn("salt", F.pmod(F.xxhash64(own), salts)), ["gram", "salt"]).select(query_id, own, (F.col("asked") * F.col("weight")).alias("part"))
+        opened = met.unionByName(light.join(wide, query_id, "left_semi")).groupBy(query_id, own).agg(F.sum("part").alias("score"))
+        return {"light": light, "plain": plain, "completed": completed, "opened": opened}
+
+    def neighbours(self, queries: DataFrame, k: int, text: str = "text", query_id: str = "query_id", heavy: int = HEAVY) -> DataFrame:
+        """O-097. (query_id, row_id, score, rank) of the k most similar rows of each query."""
+        parts = self._parts(queries, k, text, query_id, heavy)
+        scores = parts["plain"].unionByName(parts["completed"]).unionByName(parts["opened"]).filter("score > 0")
+        order = Window.partitionBy(query_id).orderBy(F.desc(F.bround("score", 9)), F.desc(self.id_column))
+        return scores.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k)
+
+    def work(self, queries: DataFrame, k: int, text: str = "text", query_id: str = "query_id", heavy: int = HEAVY) -> DataFrame:
+        """(part, pairs): pairs of query and row that met by rare grams, that got their score completed, and that open queries met."""
+        out = None
+        for name, part in self._parts(queries, k, text, query_id, heavy).items():
+            own = part.agg(F.count(F.lit(1)).alias("pairs")).select(F.lit(name).alias("part"), "pairs")
+            out = own if out is None else out.unionByName(own)
+        return out
 
 
 def rank_candidates(found: DataFrame, candidates: DataFrame) -> DataFrame:

@@ -9,9 +9,11 @@ from pyspark.sql import functions as F
 from catalith.functions import fixed_values as V
 from catalith.operators import driver as R
 from catalith.operators import registry as G
+from catalith.operators import retrieval
 from catalith.operators import stages as S
-from catalith.plans.proxy import OBS, observations
+from catalith.plans.proxy import observations
 from catalith.plans.record_queries import _RAWS, _raw
+from catalith.plans.text_queries import _NEIGHBOURS_SQL
 from catalith.session import prepare, shared_path, table, written
 from catalith.sources import tables as T
 from catalith.sources import workbooks as W
@@ -143,7 +145,23 @@ _HINTS = """
         CASE WHEN p_partkey % 2 = 0 THEN 0.7 ELSE 0.9 END::DOUBLE AS confidence, CASE WHEN p_partkey % 2 = 0 THEN 'llm' ELSE 'spec-table:http://x' END AS source
     FROM part, (VALUES ('Pressure Rating'), ('Voltage'), ('Max Temperature'), ('Finish'), ('Overall Depth')) AS t(label)"""
 
+# -- search --------------------------------------------------------------------------------------------------------------------------------
+
+
+def _descriptions(s, d):
+    """The nearest descriptions of every description, each as a whole."""
+    rows = table(prepare(s), d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text")).groupBy("text").agg(F.min("p_partkey").alias("row_id"))
+    found = retrieval.Index(rows).neighbours(rows.withColumnRenamed("row_id", "query_id"), 3)
+    return found.select("query_id", "row_id", F.bround("score", 6).alias("score"), "rank")
+
+
+_DESCRIPTIONS = (
+    "\n    WITH r AS (SELECT min(p_partkey) AS row_id, p_name || ' ' || p_type || ' ' || p_brand AS text FROM part GROUP BY 2), q AS (SELECT * FROM r),\n"
+    + _NEIGHBOURS_SQL.split("\n", 2)[2]
+)
+
 QUERIES = {
+    "o097_descriptions": (_descriptions, _DESCRIPTIONS),
     "o001_workbook": (_scanned, f"WITH {_RAWS} SELECT * FROM r"),
     "o004_workbook_upload": (_uploaded, "SELECT CAST(p_partkey AS VARCHAR) AS part_number, CASE WHEN p_size % 2 = 0 THEN CAST(p_size AS VARCHAR) ELSE '' END AS sku, '--' AS fine FROM part"),
     "o005_workbook_header": (_headed, "SELECT row_number() OVER () - 1 AS place, column_name AS name FROM (DESCRIBE supplier)"),
