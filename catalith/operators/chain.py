@@ -55,7 +55,8 @@ def started(rows: DataFrame) -> DataFrame:
 def classifier(known: Knowledge, given: Given):
     def stage(r: DataFrame) -> DataFrame:
         out = S.classify(r, known.registry, known.index, known.labelled, given.paths)
-        return out.drop("candidates", "level").withColumn("item_type", item_type(F.col("classpath")))
+        told = F.when(F.col("classify_issue").isNotNull(), F.array_append("issues", F.col("classify_issue"))).otherwise(F.col("issues"))
+        return out.withColumn("issues", told).drop("candidates", "level", "classify_issue").withColumn("item_type", item_type(F.col("classpath")))
 
     return stage
 
@@ -124,14 +125,15 @@ def sourcing(known: Knowledge, given: Given):
 
 def validator(known: Knowledge, given: Given):
     def stage(r: DataFrame) -> DataFrame:
-        outside = F.transform(F.filter("attributes", lambda a: a["source"] == "llm-offlov"), lambda a: a["label"])
-        found = S.validate(r.withColumn("outside", outside).withColumnRenamed("issues", "_before"), known.registry.makers)
-        found = found.withColumn("issues", F.concat("_before", "issues")).drop("_before", "outside")
+        provenance = F.map_filter(F.create_map(F.lit("classpath"), F.col("classpath_provenance"), F.lit("product_name"), F.col("name_provenance"), F.lit("brand_name"), F.col("brand_provenance")), lambda k, v: v.isNotNull())
+        found = S.validate_all(r.withColumn("provenance", provenance), known.registry)
         filled = F.filter("attributes", lambda a: F.coalesce(a["value"], F.lit("")) != "")
         mean = F.when(F.size(filled) > 0, F.aggregate(filled, F.lit(0.0), lambda s, a: s + a["confidence"]) / F.size(filled))
-        parts = {"classpath": F.col("classpath_confidence"), "brand_name": F.col("brand_confidence"), "attributes": mean}
+        parts = {"classpath": F.col("classpath_confidence"), "brand_name": F.col("brand_confidence"), "product_name": F.col("name_confidence"), "attributes": mean}
         confidence = F.map_filter(F.create_map(*[x for k, v in parts.items() for x in (F.lit(k), v.cast("double"))]), lambda k, v: v.isNotNull())
         out = found.withColumn("confidence", confidence).withColumn("_o", S.overall(F.col("confidence"), F.col("issues")))
+        low = F.col("_o.needs_review") & (F.size("issues") == 0)
+        out = out.withColumn("issues", F.when(low, F.array(F.lit("low overall confidence"))).otherwise(F.col("issues")))
         return out.withColumn("needs_review", F.col("needs_review") | F.col("_o.needs_review")).withColumn("overall", F.col("_o.overall")).drop("_o")
 
     return stage

@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalith.functions.text import query_text
+from catalith.session import written
 
 SMALLEST, LARGEST = 3, 5
 HEAVY, NEARLY = 2_000, 1e-9
@@ -63,6 +64,11 @@ class Index:
         self.rows, self.id_column = rows, id_column
         self.weights = weights(tf, self.idf, id_column)
 
+    def stored(self) -> Index:
+        """The same index with its grams and weights written down, so that searches do not work them out again."""
+        self.idf, self.weights = written(self.idf, "grams"), written(self.weights, "weights")
+        return self
+
     def _parts(self, queries: DataFrame, k: int, text: str, query_id: str, heavy: int) -> dict[str, DataFrame]:
         own = self.id_column
         asked = weights(postings(queries, query_id, text), self.idf, query_id).withColumnRenamed("weight", "asked")

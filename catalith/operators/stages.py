@@ -5,18 +5,23 @@ Undecided rows are the only ones that reach similarity search or model answers:
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from catalith.functions import fixed_values as V
 from catalith.functions.measure import dimensions, measure_text
-from catalith.functions.text import clean, folded, slug, title_case, truncate_clean
+from catalith.functions.similarity import token_set_column
+from catalith.functions.text import clean, folded, invoice_line_folded, slug, title_case, truncate_clean
 from catalith.operators import retrieval
 from catalith.operators.registry import Registry
-from catalith.operators.resolve import candidates, resolve
+from catalith.operators.resolve import candidates, canonical, resolve
 from catalith.operators.snap import best
 
 REVIEW_BELOW, SEVERE_MOST = 0.65, 3
+SNAP_FLOOR, NAMING_NEIGHBOURS = 60.0, 8
+PERMITTED_MOST, MOBILE_LEAST, MOBILE_MOST = 500, 60, 80
+#: Texts of a record that must hold no decimal inch and no unit without its space.
+TEXTS = ("long_desc", "short_desc", "retail_desc", "mobile_desc", "marketing_desc")
 
 
 def is_holdout(part_number: Column, ratio: float = 0.3) -> Column:
@@ -42,39 +47,63 @@ def page(records: DataFrame, offset: int, limit: int, order: str = "_row_id") ->
 
 
 def classify(rows: DataFrame, registry: Registry, index: retrieval.Index, labelled: DataFrame, answers: DataFrame | None = None) -> DataFrame:
-    """O-135. rows with `classpath`, `classpath_confidence`, `classpath_provenance` and `product_name`. A sole candidate gives 0.92, a near row 0.90, a model answer on the list
-    its own confidence up to 0.95, off the list 0.55, none at all 0.45 by the neighbours' votes or the first candidate. labelled: (row_id, classpath, product_name); answers: (row_id, answer, answer_confidence)."""
+    """O-135. rows with `classpath`, `classpath_confidence`, `classpath_provenance`, `product_name` with `name_confidence` and `name_provenance`, and `classify_issue`.
+
+    A sole candidate gives 0.92, a near row 0.90, a model answer on the list its own confidence up to 0.95; one off the list is snapped to the candidate with the most similar words, at 60 or more, else to the first one,
+    at 0.55; without an answer, 0.45 by the neighbours' votes or the first candidate. Candidates stand in the order of the neighbours' votes. Names come from neighbours of the path (0.8), else from the answer, else
+    they are the path's usual one. labelled: (row_id, classpath, product_name); answers: (row_id, answer, answer_confidence and, if at hand, answer_name)."""
     known = candidates(rows, registry.triples)
+    listed = known.filter(F.size("candidates") > 0)
     open_ = known.filter(F.size("candidates") > 1)
     # descriptions repeat, so each is searched once and its neighbours go to all rows that have it
-    texts = open_.groupBy("description").agg(F.min("row_id").alias("query_id"))
+    texts = listed.groupBy("description").agg(F.min("row_id").alias("query_id"))
     names = labelled.select("row_id", "classpath", "product_name")
     found = index.neighbours(texts.select("query_id", F.col("description").alias("text")), 12).join(names, "row_id").withColumnRenamed("query_id", "text_id")
-    of = open_.select(F.col("row_id").alias("asking"), "description").join(texts, "description").select(F.col("asking").alias("query_id"), F.col("query_id").alias("text_id"))
+    of = listed.select(F.col("row_id").alias("asking"), "description").join(texts, "description").select(F.col("asking").alias("query_id"), F.col("query_id").alias("text_id"))
     near = of.join(found, "text_id").drop("text_id")
-    options = open_.select(F.col("row_id").alias("query_id"), F.explode("candidates").alias("classpath"))
-    decided = retrieval.decide(near.filter("rank <= 5"), options).select(F.col("query_id").alias("row_id"), F.col("classpath").alias("_near"), F.col("score").alias("_score"))
-    voted = retrieval.rank_candidates(near, options).filter("rank = 1").select(F.col("query_id").alias("row_id"), F.col("classpath").alias("_voted"))
+    options = open_.select(F.col("row_id").alias("query_id"), F.posexplode("candidates").alias("_at", "classpath"))
+    decided = retrieval.decide(near.filter("rank <= 5"), options.drop("_at")).select(F.col("query_id").alias("row_id"), F.col("classpath").alias("_near"), F.col("score").alias("_score"))
+    ranked = retrieval.rank_candidates(near, options.drop("_at"))
+    voted = ranked.filter("rank = 1").select(F.col("query_id").alias("row_id"), F.col("classpath").alias("_voted"))
     out = known.join(decided, "row_id", "left").join(voted, "row_id", "left")
     if answers is None:
-        out = out.withColumns({"answer": F.lit(None).cast("string"), "answer_confidence": F.lit(None).cast("double")})
+        out = out.withColumns({"answer": F.lit(None).cast("string"), "answer_confidence": F.lit(None).cast("double"), "answer_name": F.lit(None).cast("string"), "_snapped": F.lit(None).cast("string")})
     else:
-        out = out.join(answers, "row_id", "left")
+        said = answers.withColumn("answer", F.trim("answer")) if "answer_name" in answers.columns else answers.withColumn("answer", F.trim("answer")).withColumn("answer_name", F.lit(None).cast("string"))
+        strays = said.select(F.col("row_id").alias("query_id"), "answer").join(options.join(ranked.select("query_id", "classpath", F.col("rank").alias("_voted")), ["query_id", "classpath"], "left"), "query_id")
+        scored = strays.withColumn("score", token_set_column(F.col("answer"), F.col("classpath"))).filter(F.col("score") >= SNAP_FLOOR)
+        snapped = scored.groupBy("query_id").agg(F.min_by("classpath", F.struct(-F.col("score"), F.coalesce("_voted", F.lit(1 << 30)), "_at")).alias("_snapped"))
+        out = out.join(said.select("row_id", "answer", "answer_confidence", "answer_name"), "row_id", "left").join(snapped.withColumnRenamed("query_id", "row_id"), "row_id", "left")
     first, many = F.try_element_at("candidates", F.lit(1)), F.size("candidates")
-    listed = F.array_contains("candidates", F.col("answer"))
+    on_list = F.array_contains("candidates", F.col("answer"))
+    none = F.lit(None).cast("string")
     rules = [
-        (many == 0, F.lit(None).cast("string"), F.lit(0.0), F.lit("none")),
-        (many == 1, first, F.lit(0.92), F.lit("registry-unique")),
-        (F.col("_near").isNotNull(), F.col("_near"), F.lit(0.90), F.concat(F.lit("retrieval:"), F.format_string("%.2f", F.col("_score")))),
-        (listed, F.col("answer"), F.least(F.coalesce("answer_confidence", F.lit(0.7)), F.lit(0.95)), F.lit("llm-choice")),
-        (F.col("answer").isNotNull(), F.coalesce("_voted", first), F.lit(0.55), F.lit("llm-choice")),
-        (F.col("_voted").isNotNull(), F.col("_voted"), F.lit(0.45), F.lit("retrieval-fallback")),
+        (many == 0, none, F.lit(0.0), F.lit("none"), F.lit("no classpath candidates for category triple")),
+        (many == 1, first, F.lit(0.92), F.lit("registry-unique"), none),
+        (F.col("_near").isNotNull(), F.col("_near"), F.lit(0.90), F.concat(F.lit("retrieval:"), F.format_string("%.2f", F.col("_score"))), none),
+        (on_list, F.col("answer"), F.least(F.coalesce(F.nullif("answer_confidence", F.lit(0.0)), F.lit(0.7)), F.lit(0.95)), F.lit("llm-choice"), none),
+        (F.col("answer").isNotNull(), F.coalesce("_snapped", "_voted", first), F.lit(0.55), F.lit("llm-choice"), F.lit("classifier returned off-list classpath, snapped to nearest")),
+        (F.col("_voted").isNotNull(), F.col("_voted"), F.lit(0.45), F.lit("retrieval-fallback"), F.lit("classifier LLM unavailable, fell back to ranked candidate")),
     ]
-    last = (first, F.lit(0.45), F.lit("registry-fallback"))
+    last = (first, F.lit(0.45), F.lit("registry-fallback"), F.lit("classifier LLM unavailable, fell back to ranked candidate"))
     pick = lambda i: _cascade([(r[0], r[i + 1]) for r in rules], last[i])
-    out = out.select(*known.columns, pick(0).alias("classpath"), pick(1).alias("classpath_confidence"), pick(2).alias("classpath_provenance"))
-    modal = registry.names.groupBy("classpath").agg(F.max_by("product_name", F.struct("n", -F.col("first"))).alias("product_name"))
-    return out.join(modal, "classpath", "left").select(*known.columns, "classpath", "classpath_confidence", "classpath_provenance", F.coalesce("product_name", F.lit("")).alias("product_name"))
+    out = out.select(*known.columns, "answer_name", pick(0).alias("classpath"), pick(1).alias("classpath_confidence"), pick(2).alias("classpath_provenance"), pick(3).alias("classify_issue"))
+    modal = registry.names.groupBy("classpath").agg(F.max_by("product_name", F.struct("n", -F.col("first"))).alias("_modal"))
+    chosen = out.filter("classpath is not null").select(F.col("row_id").alias("query_id"), "classpath")
+    named = retrieval.modal_name(near.filter(F.col("rank") <= NAMING_NEIGHBOURS), chosen).select(F.col("query_id").alias("row_id"), F.col("product_name").alias("_named"))
+    out = out.join(modal, "classpath", "left").join(named, "row_id", "left").withColumns({"_said": F.trim(F.coalesce("answer_name", F.lit(""))), "_modal": F.coalesce("_modal", F.lit(""))})
+    asked = F.col("classpath_provenance") == "llm-choice"
+    # a model that was asked for the path names the product too; else it is asked only where nothing else does
+    naming = [
+        (F.col("classpath").isNull(), F.lit(""), F.lit(None).cast("double"), none),
+        (F.col("_named").isNotNull(), F.col("_named"), F.lit(0.8), F.lit("retrieval")),
+        (asked & (F.col("_said") != ""), F.col("_said"), F.lit(0.8), F.lit("llm")),
+        (asked, F.col("_modal"), F.lit(0.4), F.lit("classpath-modal")),
+        ((F.col("_modal") == "") & (F.col("_said") != ""), F.col("_said"), F.lit(0.75), F.lit("llm")),
+    ]
+    last = (F.col("_modal"), F.lit(0.5), F.lit("classpath-modal"))
+    name = lambda i: _cascade([(r[0], r[i + 1]) for r in naming], last[i])
+    return out.select(*known.columns, "classpath", "classpath_confidence", "classpath_provenance", name(0).alias("product_name"), name(1).alias("name_confidence"), name(2).alias("name_provenance"), "classify_issue")
 
 
 def _cascade(rules: list[tuple[Column, Column]], otherwise: Column) -> Column:
@@ -183,6 +212,74 @@ def validate(rows: DataFrame, makers: DataFrame) -> DataFrame:
     return out.withColumn("mobile_desc", mobile).withColumn("issues", found).drop("_usual")
 
 
+def quoted(c: Column) -> Column:
+    """A text in quotes, double ones where it has single ones itself."""
+    return F.when(c.contains("'") & ~c.contains('"'), F.concat(F.lit('"'), c, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(c, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def vocabulary_checked(rows: DataFrame, registry: Registry) -> DataFrame:
+    """O-150. (row_id, attributes, found): filled attributes with measures cleaned, values outside their path's list at 0.5 at most, and what is wrong with values and units."""
+    key = ["classpath", "label_key"]
+    each = rows.select("row_id", "classpath", F.posexplode("attributes").alias("slot", "a")).withColumn("label_key", folded(F.col("a.label")))
+    filled = F.trim(F.coalesce(F.col("a.value"), F.lit(""))) != ""
+    each = each.withColumn("value", F.when(filled, measure_text(F.col("a.value"))).otherwise(F.col("a.value"))).withColumn("filled", filled)
+    place = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc("n"), "first"))
+    permitted = registry.values.withColumn("_n", place).filter(F.col("_n") <= PERMITTED_MOST).select(*key, "value", F.lit(True).alias("listed"))
+    limited = registry.free.filter("not free_text").select(*key, F.lit(True).alias("limited"))
+    usual = registry.units.groupBy(*key).agg(F.max_by("uom", F.struct("n", -F.col("first"))).alias("usual"))
+    met = each.join(limited, key, "left").join(usual, key, "left").join(permitted, [*key, "value"], "left")
+    checked = F.col("filled") & F.col("limited").isNotNull() & (F.coalesce("classpath", F.lit("")) != "")
+    outside = checked & F.col("listed").isNull()
+    unit = F.col("filled") & F.col("limited").isNotNull() & (F.coalesce("usual", F.lit("")) != "") & (F.coalesce(F.col("a.uom"), F.lit("")) != "") & (F.col("a.uom") != F.col("usual"))
+    wrong = F.array_compact(F.array(
+        F.when(outside, F.concat("a.label", F.lit("="), quoted(F.col("value")), F.lit(" is outside the controlled vocabulary"))),
+        F.when(unit, F.concat("a.label", F.lit(" unit "), quoted(F.col("a.uom")), F.lit(" differs from approved "), quoted(F.col("usual")))),
+    ))
+    sure = F.when(outside, F.least(F.col("a.confidence"), F.lit(0.5))).otherwise(F.col("a.confidence"))
+    kind = rows.schema["attributes"].dataType.elementType
+    new = {"value": F.col("value"), "confidence": sure}
+    rebuilt = F.struct(*[new.get(f.name, F.col(f"a.{f.name}")).cast(f.dataType).alias(f.name) for f in kind.fields])
+    gathered = met.groupBy("row_id").agg(F.array_sort(F.collect_list(F.struct("slot", rebuilt.alias("a"), wrong.alias("wrong")))).alias("g"))
+    return gathered.select("row_id", F.transform("g", lambda x: x["a"]).alias("attributes"), F.flatten(F.transform("g", lambda x: x["wrong"])).alias("found"))
+
+
+def validate_all(rows: DataFrame, registry: Registry) -> DataFrame:
+    """O-150. Records normalised and within their limits, with what is wrong beside the issues they have: measures in texts and attributes; the invoice line in capitals, abbreviated to its limit; the mobile line;
+    identity, on approved spellings and as usual; values and units by path; decimal inches that are left. rows: a record's identity, texts, attributes, provenance (a map) and issues."""
+    mark = lambda name, to: F.map_concat(F.map_filter("provenance", lambda k, v: k != name), F.create_map(F.lit(name), to))
+    out = canonical(rows, "brand_name", registry.brands.select("key", "brand"), "brand", "_brand")
+    out = canonical(out, "manufacturer_name", registry.maker_forms.select("key", "manufacturer"), "manufacturer", "_maker")
+    renamed = (F.col("brand_name") != "") & (F.col("_brand") != "") & (F.col("_brand") != F.col("brand_name"))
+    was = F.coalesce(F.try_element_at("provenance", F.lit("brand_name")), F.lit(""))
+    out = out.withColumn("provenance", F.when(renamed, mark("brand_name", F.concat(was, F.lit("+canonicalised")))).otherwise(F.col("provenance")))
+    for column, to in (("brand_name", "_brand"), ("manufacturer_name", "_maker")):
+        out = out.withColumn(column, F.when((F.coalesce(column, F.lit("")) != "") & (F.col(to) != ""), F.col(to)).otherwise(F.col(column)))
+    out = out.drop("_brand", "_maker").join(registry.makers.select(F.col("brand").alias("brand_name"), F.col("manufacturer").alias("_usual")), "brand_name", "left")
+    out = out.join(vocabulary_checked(rows, registry).withColumnsRenamed({"attributes": "_attributes", "found": "_found"}), "row_id", "left")
+    # texts last, and by one expression for all of them: the plan above does not carry their rules along
+    texts = [c for c in TEXTS if c in rows.columns]
+    clean_text = F.transform(F.array(*texts), lambda c: F.when(F.coalesce(c, F.lit("")) != "", measure_text(c)).otherwise(c))
+    line = F.when(F.coalesce("invoice_desc", F.lit("")) != "", invoice_line_folded(F.col("invoice_desc"))).otherwise(F.col("invoice_desc"))
+    out = out.withColumns({"_texts": clean_text, "_line": line})
+    out = out.withColumns({c: F.get("_texts", F.lit(i)) for i, c in enumerate(texts)})
+    shortened = F.when(~F.col("_line").eqNullSafe(F.col("invoice_desc")), mark("invoice_desc", F.lit("formula+abbreviated"))).otherwise(F.col("provenance"))
+    out = out.withColumns({"provenance": shortened, "invoice_desc": F.upper("_line"), "mobile_desc": truncate_clean(F.col("mobile_desc"), MOBILE_MOST)})
+    length = lambda c: F.length(F.coalesce(c, F.lit("")))
+    said = F.concat_ws("", F.lit("brand/manufacturer mismatch: "), "brand_name", F.lit(" normally maps to "), "_usual", F.lit(", got "), "manufacturer_name")
+    found = F.concat(
+        F.col("issues"),
+        F.array_compact(F.array(
+            F.when(length("invoice_desc") > V.INVOICE_LIMIT, F.lit(f"INVOICE_DESC exceeds {V.INVOICE_LIMIT} chars")),
+            F.when((length("mobile_desc") > 0) & (length("mobile_desc") < MOBILE_LEAST), F.format_string(f"MOBILE_DESC is %d chars, below the {MOBILE_LEAST} minimum", F.length("mobile_desc"))),
+        )),
+        issues({"Classpath": F.col("classpath"), "BRAND_NAME": F.col("brand_name"), "MANUFACTURER_NAME": F.col("manufacturer_name"), "MANUFACTURER_PART_NUMBER": F.col("mpn")}),
+        F.array_compact(F.array(F.when((F.coalesce("manufacturer_name", F.lit("")) != "") & (F.col("_usual") != F.col("manufacturer_name")), said))),
+        F.coalesce("_found", F.array().cast("array<string>")),
+        F.array_compact(F.array(*[F.when(F.coalesce(c, F.lit("")).rlike(r"(?U)\d+\.\d+\s*in\b"), F.lit(f"{c} still contains a decimal inch value")) for c in texts])),
+    )
+    return out.withColumn("issues", found).withColumn("attributes", F.coalesce("_attributes", "attributes")).drop("_usual", "_attributes", "_found").select(*rows.columns)
+
+
 def overall(confidence: Column, found: Column) -> Column:
     """O-151. struct(overall, needs_review): the weighted mean of the parts that a record has, less 0.08 for each severe issue, by 0.6 at most."""
     weights = F.create_map(*[x for k, v in V.WEIGHTS.items() for x in (F.lit(k), F.lit(v))])

@@ -375,7 +375,7 @@ def enriched(s, d):
     folder = _folder(s, "knowledge")
     G.fit(train).save(folder)
     registry = G.Registry.load(s, folder)
-    index = retrieval.Index(train.groupBy("description").agg(F.min("row_id").alias("row_id")).withColumnRenamed("description", "text"))
+    index = retrieval.Index(train.groupBy("description").agg(F.min("row_id").alias("row_id")).withColumnRenamed("description", "text")).stored()
     facts = Y.row_facts(train).filter("surface <> 'invoice'")
     styles = written(Y.mined(Y.located(facts)), "styles")
     assets = train.select("brand").distinct().select("brand", F.lit("https://d.com").alias("domain"), F.lit("Pre").alias("prefix"), F.lit(0.8).alias("image_rate"), F.create_map(F.lit("Catalog"), F.lit(0.9)).alias("rates"))

@@ -14,7 +14,7 @@ from catalith.operators import stages as S
 from catalith.operators import style as Y
 from catalith.plans.proxy import OBS, observations
 from catalith.sources import tables as T
-from catalith.session import prepare, table
+from catalith.session import prepare, table, written
 
 
 def _t(name):
@@ -155,7 +155,8 @@ def _pages(s, d):
 def _gather(s, d):
     """A record for each page, its language and number as part number. All own example.com; those it does not name fall back to the other two domains."""
     raw = _t("pages")(s, d)
-    pages = E.documents(raw).withColumn("domain", I.registrable(I.host_of(F.col("url")))).withColumn("seen", F.col("page_id"))
+    # parsed pages are kept, as a document cache keeps them: they are read twice
+    pages = written(E.documents(raw).withColumn("domain", I.registrable(I.host_of(F.col("url")))).withColumn("seen", F.col("page_id")), "documents")
     records = raw.select(F.concat(F.lit("r"), F.col("page_id").cast("string")).alias("part_number"), F.regexp_extract("url", r"/([a-z]{2}/\d+)", 1).alias("mpn"))
     domains = records.select("part_number", F.lit("example.com").alias("domain"))
     reputable = prepare(s).createDataFrame([("example.org",), ("example.net",)], "domain string")
@@ -192,7 +193,7 @@ def _descriptions(s, d):
 def _classify(s, d):
     train, held = S.split(observations(s, d))
     sample = train.dropDuplicates(["description"]).select("row_id", F.col("description").alias("text"))
-    index = retrieval.Index(sample)
+    index = retrieval.Index(sample).stored()
     out = S.classify(held.select("row_id", "dept", "class", "fine", "description"), R.fit(train), index, train)
     return out.select("row_id", "classpath", "classpath_confidence", F.element_at(F.split("classpath_provenance", ":"), 1).alias("family"))
 
