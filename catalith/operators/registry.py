@@ -10,6 +10,7 @@ All aggregates combine on the map side, so a supplier or label with a third of a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 
 from catalith.functions import fixed_values as V
 from catalith.functions.text import canonical_unit, folded, match_key
+from catalith.sources.snapshots import snapshot
 
 PURITY, SUPPORT = 0.85, 2
 DOMINANT_ROWS, DOMINANT_SHARE = 3, 0.8
@@ -259,6 +261,12 @@ class Registry:
         return cls(**{name: spark.read.parquet(f"{folder}/{name}") for name in cls.__dataclass_fields__})
 
 
+    @classmethod
+    def of(cls, spark, folder: str, sources: list[DataFrame], build: Callable[[], Registry]) -> Registry:
+        """O-003, O-181. The registries of these source files: from their snapshot, or built and kept."""
+        return cls(**snapshot(spark, folder, "registry", sources, lambda: dict(build().__dict__)))
+
+
 def fit(rows: DataFrame) -> Registry:
     """O-181. All registries from the labelled rows."""
     facts, votes = melted(rows), brand_votes(rows)
