@@ -16,6 +16,7 @@ from catalith.operators import retrieval
 from catalith.operators.registry import Registry
 from catalith.operators.resolve import candidates, canonical, resolve
 from catalith.operators.snap import best
+from catalith.session import written
 
 REVIEW_BELOW, SEVERE_MOST = 0.65, 3
 SNAP_FLOOR, NAMING_NEIGHBOURS = 60.0, 8
@@ -58,7 +59,8 @@ def classify(rows: DataFrame, registry: Registry, index: retrieval.Index, labell
     # descriptions repeat, so each is searched once and its neighbours go to all rows that have it
     texts = listed.groupBy("description").agg(F.min("row_id").alias("query_id"))
     names = labelled.select("row_id", "classpath", "product_name")
-    found = index.neighbours(texts.select("query_id", F.col("description").alias("text")), 12).join(names, "row_id").withColumnRenamed("query_id", "text_id")
+    # four steps below look at the neighbours, so they are written down
+    found = written(index.neighbours(texts.select("query_id", F.col("description").alias("text")), 12), "neighbours").join(names, "row_id").withColumnRenamed("query_id", "text_id")
     of = listed.select(F.col("row_id").alias("asking"), "description").join(texts, "description").select(F.col("asking").alias("query_id"), F.col("query_id").alias("text_id"))
     near = of.join(found, "text_id").drop("text_id")
     options = open_.select(F.col("row_id").alias("query_id"), F.posexplode("candidates").alias("_at", "classpath"))

@@ -26,7 +26,8 @@ def _out(*texts: str, fn, show=lambda c: c):
         text: Column = F.expr(texts[-1])
         for i, t in enumerate(texts[:-1]):
             text = F.when(F.col("p_partkey") % len(texts) == i, F.expr(t)).otherwise(text)
-        return _part(s, d).select("p_partkey", show(fn(text)).alias("out"))
+        # step by step, so that nothing is worked out twice
+        return _part(s, d).select("p_partkey", text.alias("text")).select("p_partkey", fn(F.col("text")).alias("made")).select("p_partkey", show(F.col("made")).alias("out"))
 
     return run
 
