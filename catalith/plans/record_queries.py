@@ -368,8 +368,8 @@ _Q = lambda x: x.replace("'", "''")
 _PROMPTED = f"WITH {OBS}, p AS (SELECT row_id, CASE WHEN fine = '7' THEN '{_Q(V.PROMPT_SOURCE)}' || 'page' || chr(10) || chr(10) ELSE '' END || 'Product: ''' || description || '''' || chr(10) || 'Brand: ' || brand || chr(10) || 'Manufacturer: ' || manufacturer || chr(10) || 'Manufacturer part number: ' || mpn || chr(10) || 'Classpath: ' || classpath || chr(10) || 'Product type: ' || product_name || chr(10) || chr(10) || 'Extract values for these attributes:' || chr(10) || '- Flag' || chr(10) || chr(10) || '{_Q(V.PROMPT_RULES)}' AS t FROM obs) SELECT row_id, substr(sha256('model' || chr(0) || t || chr(0) || '{{}}'), 1, 40) AS key, length(t) AS size FROM p"
 
 
-def enriched(s, d):
-    """The held-out rows of the catalogue through all eight stages, with what was learned from the others, and the reviewers' decisions."""
+def catalogue(s, d):
+    """What was learned from a part of the catalogue, the reviewers' decisions, and the raw held-out rows."""
     rows = _style_rows(s, d).dropDuplicates(["row_id"])
     train, held = S.split(rows)
     folder = _folder(s, "knowledge")
@@ -382,7 +382,13 @@ def enriched(s, d):
     decided = held.filter("fine = '7'").groupBy("part_number").agg(F.lit("corrected").alias("status")).withColumns({"fields": F.create_map(F.lit("product_name"), F.lit("seen")), "attributes": F.array().cast("array<struct<label:string,value:string,uom:string>>"), "extras": F.create_map().cast("map<string,string>")})
     known = H.Knowledge(registry, index, train.select("row_id", "classpath", "product_name"), styles, assets)
     raw = held.select("row_id", "part_number", "dept", "class", "fine", "supplier", "hints", "mpn", "description")
-    return R.run(H.started(raw), H.stages(known, H.Given(decisions=decided)), cut=lambda r, name: written(r, f"stage-{name}"))
+    return known, H.Given(decisions=decided), raw
+
+
+def enriched(s, d):
+    """The held-out rows through all eight stages."""
+    known, given, raw = catalogue(s, d)
+    return R.run(H.started(raw), H.stages(known, given), cut=lambda r, name: written(r, f"stage-{name}"))
 
 
 def _chain(s, d):

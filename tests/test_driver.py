@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from catalith.functions import similarity as M
+from catalith.operators import chain as H
 from catalith.operators import driver as R
 from catalith.operators import extras as A
 from catalith.plans import record_queries
@@ -120,3 +121,19 @@ def test_the_chain_runs_from_end_to_end(spark):
     assert out.filter("length(mobile_desc) > 80 or length(invoice_desc) > 40").count() == 0
     decided = out.filter("product_name = 'seen'")
     assert decided.count() > 0 and decided.filter("needs_review").count() == 0
+
+
+@pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
+def test_a_row_that_every_stage_fails_for(spark):
+    known, given, raw = record_queries.catalogue(spark, SF)
+    few = written(raw.orderBy("row_id").limit(3), "few")
+    bad = few.agg(F.min("row_id")).first()[0]
+    poisoned = F.when(F.col("row_id") == bad, F.raise_error(F.lit("bad")).cast("string")).otherwise(F.col("part_number"))
+    stages = [(name, lambda r, stage=stage: stage(r).withColumn("part_number", poisoned)) for name, stage in H.stages(known, given)]
+    told = []
+    out = {r.row_id: r for r in R.run(H.started(few), stages, cut=cut, report=told.append).collect()}
+    failed = [i for i in out[bad].issues if " failed: " in i]
+    assert failed == [f"stage {name} failed: SparkRuntimeException" for name, _ in stages] and len(failed) == 8
+    assert len(out) == 3 and not any(" failed: " in i for k, r in out.items() if k != bad for i in r.issues)
+    assert all(r.classpath and r.overall is not None for k, r in out.items() if k != bad) and out[bad].needs_review
+    assert [(t.rows, t.failed) for t in told] == [(3, 1)] * 8
