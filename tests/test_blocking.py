@@ -58,6 +58,20 @@ def test_safe_match_equals_all_pairs(spark):
     assert J.safe_match(*[spark.createDataFrame([], "key string")] * 2).count() == 0
 
 
+def test_names_by_number_meet_their_own(spark, monkeypatch):
+    """Names that all look alike: keys a letter from one of them are settled without the grams, which nearly all names share."""
+    left = [f"xsupplier#{i:09d}" for i in range(60)] + [f"supplier#0{i:09d}" for i in range(60)] + ["word supplier#5 b", "zz supplier#000000007"]
+    right = [f"supplier#{i:09d}" for i in range(60)] + ["b supplier#5 word", "supplier#000000007 z"]
+    tables = [spark.createDataFrame([(x,) for x in names], "key string") for names in (left, right)]
+    want = {k: m for k in left if (m := plain_match(k, right))}
+    assert dict(J.safe_match(*tables).collect()) == want
+    seen = []
+    plain = J.close_pairs
+    monkeypatch.setattr(J, "close_pairs", lambda asked, *more: seen.append(asked.count()) or plain(asked, *more))
+    J.safe_match(tables[0].filter("key like 'xs%'"), tables[1]).collect()
+    assert seen == []
+
+
 def test_templates_of_similar_paths(spark):
     paths = ["tools > hand saws", "kitchen > box sinks", "kitchenware", "a > b"]
     templates = spark.createDataFrame([(p, [str(i)]) for i, p in enumerate(paths)], "classpath string, labels array<string>")
