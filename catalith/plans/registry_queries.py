@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from catalith.operators import registry as R
 from catalith.operators import resolve as J
 from catalith.operators import stages as S
-from catalith.plans.proxy import OBS, observations
+from catalith.plans.proxy import OBS, observations, stored
 from catalith.session import prepare, table, written
 
 FOLD = "(CAST('0x' || substr(sha256({}), 1, 8) AS BIGINT) % 1000) < 300"
@@ -104,8 +104,8 @@ RESOLVED = f"""
 
 
 def _resolved(spark, d):
-    train, held = S.split(observations(spark, d).dropDuplicates(["row_id"]))
-    out = J.resolve(held.select("row_id", "supplier", "hints", "mpn", "description"), R.fit(train))
+    train, held = S.split(stored(spark, d, once=True))
+    out = J.resolve(held.select("row_id", "supplier", "hints", "mpn", "description"), R.fit(train).stored(*J.RESOLVES_BY))
     return out.select("row_id", "manufacturer", "brand", F.bround("confidence", 6).alias("confidence"), "provenance")
 
 
