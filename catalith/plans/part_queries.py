@@ -37,6 +37,8 @@ def _sql(*outs: str) -> str:
     return f"WITH p AS (SELECT *, p_size::VARCHAR AS size, (p_size + 1)::VARCHAR AS next, split_part(p_name, ' ', -1) AS noun FROM part) SELECT p_partkey, CASE p_partkey % {len(outs)} {cases} END AS out FROM p"
 
 
+#: A text of 40 characters at most, cut between words.
+_CUT = "CASE WHEN length({0}) <= 40 THEN {0} ELSE regexp_replace(regexp_replace(({0})[1:40], ' [^ ]*$', ''), '[ ,;:\\-|/]+$', '') END"
 _SHORT = "length(regexp_replace(noun, '[aeiou]', '', 'g'))"
 _PLAUSIBLE = f"length(noun) >= 5 AND {_SHORT} >= 3 AND {_SHORT} / length(noun) BETWEEN 0.3 AND 0.85"
 _TITLE = "array_to_string(list_transform(string_split(p_name, ' '), lambda w: upper(w[1]) || w[2:]), ' ')"
@@ -97,7 +99,7 @@ QUERIES = {
     "o029_space_units": (_out("size || 'in x ' || next || 'FT ' || p_name", "p_name || ' ' || size || 'v ' || next || 'A 60hz'", "p_name || ' inch'", fn=X.space_units), _sql("size || ' in x ' || next || ' ft ' || p_name", "p_name || ' ' || size || ' V ' || next || ' A 60 Hz'", "p_name || ' inch'")),
     "o030_measure_text": (_out("size || '.25\" H ' || p_name", "size || ' 3/4 in'", "p_name || ' ' || size || 'IN'", "size || ''' cord'", "p_name || ' ' || size || '.68 gal'", fn=M.measure_text), _sql("size || '-1/4 in H ' || p_name", "size || '-3/4 in'", "p_name || ' ' || size || ' in'", "size || ' ft cord'", "p_name || ' ' || size || '.68 gal'")),
     "o031_title_case": (_out("p_name || ' with pir'", "'led ' || p_name || ' for the home'", "'of ' || p_name", "'(pvc) ' || p_name", fn=X.title_case), _sql(f"{_TITLE} || ' with Pir'", f"'LED ' || {_TITLE} || ' for the Home'", f"'Of ' || {_TITLE}", f"'(PVC) ' || {_TITLE}")),
-    "o033_invoice_line": (_out("p_name", "p_name || ' ' || p_type", fn=X.invoice_line_folded), _sql("upper(p_name)", "upper(p_name || ' ' || p_type)")),
+    "o033_invoice_line": (_out("p_name", "p_name || ' ' || p_type", "'stainless steel duplex receptacle cover with mounting bracket'", "'industrial square toggle switch cover plate black'", "'incandescent refrigerator ' || noun || ' and galvanized aluminum'", "'fluorescent ' || noun || ' without charger, dishwasher dishwasher'", "p_name || '® '", fn=X.invoice_line_folded), _sql("upper(p_name)", "upper(p_name || ' ' || p_type)", "'SST DUPLEX RCPT COVER WITH MTG BRACKET'", "'INDL SQ TOGGLE SWITCH COVER PLATE BLACK'", "'INCAND REFRIG ' || upper(noun) || ' AND GALV ALUMINUM'", _CUT.format("'FLUOR ' || upper(noun) || ' W/O CHGR, DISHWASHER DISHWASHER'"), "upper(p_name)")),
     "o034_abbreviate": (_out("'Steel Cover, ' || p_name", "p_name || ' COVER'", "p_name", fn=lambda c: X.abbreviate(c, X.literal_map({"cover": "CVR", "steel": "STL"}))), _sql("'STL CVR ' || p_name", "p_name || ' CVR'", "p_name")),
     "o035_glue_units": (_out("size || ' V ' || p_name || ' ' || next || ' A'", "size || ' IN x ' || next || ' FT'", "size || ' in ' || p_name", fn=X.glue_units), _sql("size || 'V ' || p_name || ' ' || next || 'A'", "size || 'IN x ' || next || 'FT'", "size || ' in ' || p_name")),
     "o038_fractions_in_text": (_out("'0.5 in and ' || size || '.25 ' || p_name", "size || ' 3/4 ' || p_name", "'v' || size || '.5 ' || p_name", "size || '.0 ft'", fn=M.fractions_in_text), _sql("'1/2 in and ' || size || '-1/4 ' || p_name", "size || '-3/4 ' || p_name", "'v' || size || '.5 ' || p_name", "size || ' ft'")),
@@ -106,7 +108,7 @@ QUERIES = {
     "o044_dimensions": (_out("size || '-7/16 in H x ' || next || ' in W'", "size || ' cm L'", "p_name", fn=M.dimensions, show=lambda c: F.array_join(F.transform(c, lambda x: F.concat_ws(":", x["axis"], x["value"], x["unit"])), ",")), _sql("'HEIGHT:' || size || '-7/16:in,WIDTH:' || next || ':in'", "'LENGTH:' || size || ':cm'", "''")),
     "o045_split_measure": (_out("size || ' inches'", "size || '.6 in'", "size || ' 3/4 in'", "p_name", fn=M.split_measure, show=lambda c: F.concat_ws("|", c["value"], c["unit"])), _sql("size || '|in'", "size || '-5/8|in'", "size || '-3/4|in'", "p_name || '|'")),
     "o046_singular": (_out("noun || 's'", "noun", fn=X.singular), _sql("CASE noun WHEN 'plate' THEN 'plat' ELSE noun END", "noun")),
-    "o046_plural": (_out("noun", "noun || ' box'", fn=X.plural), _sql("noun || 's'", "noun || ' boxes'")),
+    "o046_plural": (_out("noun", "noun || ' box'", "noun || ' battery'", "noun || ' key'", "noun || ' switch'", "noun || ' brush'", "noun || ' lens'", "noun || ' topaz'", "upper(noun) || ' CITY'", "'cycle'", fn=X.plural), _sql("noun || 's'", "noun || ' boxes'", "noun || ' batteries'", "noun || ' keys'", "noun || ' switches'", "noun || ' brushes'", "noun || ' lenses'", "noun || ' topazes'", "upper(noun) || ' CITies'", "'cycles'")),
     "o049_is_abbreviation": (_pairs(X.is_abbreviation, False), _sql("false", "false", "upper(noun) <> 'ANVIL'")),
     "o050_plausible_abbreviation": (_pairs(X.plausible_abbreviation, True), _sql(_PLAUSIBLE, "false", _PLAUSIBLE)),
     "o056_head": (_heads, _sql("p_type", "p_brand", "p_type || ' ' || p_name")),
