@@ -11,10 +11,10 @@ from catalith.operators import driver as R
 from catalith.operators import registry as G
 from catalith.operators import retrieval
 from catalith.operators import stages as S
-from catalith.plans.proxy import OBS, observations
+from catalith.plans.proxy import OBS, observations, stored
 from catalith.plans.record_queries import _RAWS, _raw
 from catalith.plans.text_queries import _NEIGHBOURS_SQL
-from catalith.session import prepare, shared_path, table, written
+from catalith.session import prepare, shared_path, spread, table, written
 from catalith.sources import tables as T
 from catalith.sources import workbooks as W
 
@@ -23,14 +23,14 @@ from catalith.sources import workbooks as W
 
 def _scanned(s, d):
     path = shared_path(prepare(s), "workbook")
-    W.write(_raw(s, d), path, "Input")
+    W.write(spread(_raw(s, d), "PART_NUMBER"), path, "Input")
     out = T.scan(s, path, V.INPUT_COLUMNS, "xlsx", "Input")
     return out.select(F.col("PART_NUMBER").alias("part_number"), F.col("Dept").alias("dept"), F.col("Class").alias("class"), F.col("`SKU - MY_PART_NUMBER`").alias("sku"), F.col("Mfg_Part_Num").alias("mpn"))
 
 
 def _uploaded(s, d):
     path = shared_path(prepare(s), "upload")
-    W.write(_raw(s, d), path)
+    W.write(spread(_raw(s, d), "PART_NUMBER"), path)
     out = T.upload(s, path, "xlsx")
     return out.select(F.col("PART_NUMBER").alias("part_number"), F.col("`SKU - MY_PART_NUMBER`").alias("sku"), F.col("Fine").alias("fine"))
 
@@ -46,7 +46,7 @@ def _delivery(s, d):
     names = T.delivery_columns([f"Identity {i}" for i in range(12)], [f"Meta {i}" for i in range(6)], [f"Tail {i}" for i in range(47)])
     path = shared_path(prepare(s), "delivery")
     triplet = lambda label, value, uom: F.struct(F.lit(label).alias("label"), value.alias("value"), uom.alias("uom"))
-    records = table(s, d, "part").select(
+    records = spread(table(s, d, "part"), "p_partkey").select(
         F.create_map(F.lit("MFR URL"), F.col("p_name"), F.lit("Identity 3"), F.concat(F.col("p_name"), F.lit("\n®_x000D_")), F.lit("Tail 46"), F.when(F.col("p_size") > 9, "").otherwise("<&>"), F.lit("unknown"), F.lit("x")).alias("extras"),
         F.create_map(F.lit("PART_NUMBER"), F.col("p_partkey").cast("string"), F.lit("Dept"), F.col("p_type")).alias("source_row"),
         F.array(triplet("Color", F.col("p_brand"), F.lit(None).cast("string")), triplet("Size", F.col("p_size").cast("string"), F.lit("in"))).alias("attributes"), F.array(F.lit("f1"), F.col("p_type")).alias("features"),
@@ -135,7 +135,7 @@ def _hints(s, d):
     rows = each.select("row_id", "slot", "label", F.lower("label").alias("label_key"), value.alias("value"), F.col("p_type").alias("classpath"))
     said = rows.filter("row_id % 2 = 0").select("row_id", "label_key", "value", F.lit("").alias("uom"))
     pages = rows.filter("row_id % 2 = 1").select("row_id", "label_key", "value", F.lit("http://x").alias("url"))
-    out = S.resolve_attributes(rows.select("row_id", "classpath", "slot", "label"), said, pages, G.fit(observations(s, d)))
+    out = S.resolve_attributes(rows.select("row_id", "classpath", "slot", "label"), said, pages, G.fit(observations(s, d)).stored("free", "units", "values"))
     return out.select("row_id", "label", "value", "confidence", "source")
 
 
@@ -170,7 +170,7 @@ def _kept(s, d):
 
     def build():
         built.append(1)
-        return G.fit(observations(s, d))
+        return G.fit(stored(s, d))
 
     for _ in range(2):
         known = G.Registry.of(s, folder, sources, build)
