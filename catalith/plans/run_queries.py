@@ -53,8 +53,12 @@ def _delivery(s, d):
     )
     W.write(T.delivery(records, names), path, "Delivery")
     back = W.scan(s, path, "Delivery")
-    cells = back.select(F.explode(F.array(*[F.struct(F.lit(i).alias("place"), F.lit(c).alias("name"), F.col(f"`{c}`").alias("value")) for i, c in enumerate(back.columns)])).alias("x")).select("x.*").filter("value is not null")
-    return cells.groupBy("place", "name").agg(F.count("*").alias("n"), F.md5(F.array_join(F.array_sort(F.collect_list("value")), "|")).alias("digest"))
+    each = F.array(*[F.when(F.col(f"`{c}`").isNotNull(), F.struct(F.lit(i).alias("place"), F.lit(c).alias("name"), F.col(f"`{c}`").alias("value"))) for i, c in enumerate(back.columns)])
+    cells = back.select(F.explode(F.array_compact(each)).alias("x")).groupBy("x.place", "x.name", "x.value").agg(F.count("*").alias("times"))
+    # values repeat: a column's different ones are put in order, each then stands as often as it occurs
+    sorted_ = F.array_sort(F.collect_list(F.struct("value", F.col("times").cast("int").alias("times"))))
+    whole = F.array_join(F.transform(sorted_, lambda x: F.concat(F.repeat(F.concat(x["value"], F.lit("|")), x["times"] - 1), x["value"])), "|")
+    return cells.groupBy("place", "name").agg(F.sum("times").alias("n"), F.md5(whole).alias("digest"))
 
 
 _DELIVERY = """
@@ -151,7 +155,8 @@ _HINTS = """
 def _descriptions(s, d):
     """The nearest descriptions of every description, each as a whole."""
     rows = table(prepare(s), d, "part").select("p_partkey", F.concat_ws(" ", "p_name", "p_type", "p_brand").alias("text")).groupBy("text").agg(F.min("p_partkey").alias("row_id"))
-    found = retrieval.Index(rows).neighbours(rows.withColumnRenamed("row_id", "query_id"), 3)
+    rows = written(rows, "texts")  # a condition on a text is else worked out for each part that has it
+    found = retrieval.Index(rows).stored().neighbours(rows.withColumnRenamed("row_id", "query_id"), 3)
     return found.select("query_id", "row_id", F.bround("score", 6).alias("score"), "rank")
 
 
