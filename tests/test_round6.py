@@ -27,3 +27,45 @@ def test_facts_of_one_label_are_dealt_out(spark):
     found = Y.located(facts)
     assert "_part" in found._jdf.queryExecution().optimizedPlan().toString()
     assert [(r["at"], r.suffix, r.n) for r in found.groupBy("at", "suffix").agg(F.count("*").alias("n")).collect()] == [(6, "Sizes", 400)]
+
+
+def test_facts_do_not_work_out_spellings(spark):
+    facts = spark.createDataFrame([(1, "p", "long", "Valve 5", "Size", "5")], "row_id long, classpath string, surface string, text string, label string, value string")
+    assert [r["at"] for r in Y.located(facts).collect()] == [6]
+    # the plan begins with labels that are written down: what is asked of their spellings stays with them
+    assert "labels-" in str(Y.located(facts).inputFiles())
+
+
+def test_mined_style_looks_at_each_different_row_once(spark, monkeypatch):
+    from catalith.plans import stage_queries
+
+    facts = _facts_seen(monkeypatch, stage_queries._mined, spark)
+    assert facts.count() < facts.agg(F.sum(G.TIMES)).first()[0]
+
+
+def test_condensed_rows_are_condensed_again(spark):
+    rows = spark.createDataFrame([(3, "a", "x", 2), (1, "a", "y", 5)], "row_id long, k string, v string, _times long")
+    assert G.condensed(rows, "k").collect() == [("a", 1, 7)]
+
+
+def test_descriptions_are_built_once_for_each_record(spark, monkeypatch):
+    from catalith.plans import stage_queries
+
+    seen, real = [], Y.described
+    monkeypatch.setattr(Y, "described", lambda r, *more: seen.append(r) or real(r, *more))
+    out = stage_queries._descriptions(spark, SMALL)
+    lines = spark.read.parquet(f"{SMALL}/lineitem.parquet").count()
+    assert seen[0].count() < lines == out.count()
+
+
+def test_search_by_blocks_loses_nothing(spark, monkeypatch):
+    from catalith.operators import retrieval
+    from tests.test_retrieval import plain, rounded, texts
+
+    monkeypatch.setattr(retrieval, "BLOCK", 60)
+    rows = spark.createDataFrame(list(enumerate(texts(250, 1))), "row_id long, text string").cache()
+    asked = spark.createDataFrame(list(enumerate([*texts(70, 2), "steel", "", "zzzzzz", "steel cover"])), "query_id long, text string").cache()
+    index = retrieval.Index(rows)
+    found = index.neighbours(asked, 5)
+    assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
+    assert rounded(found) == rounded(plain(index, asked, 5))
