@@ -69,3 +69,13 @@ def test_search_by_blocks_loses_nothing(spark, monkeypatch):
     found = index.neighbours(asked, 5)
     assert "FlatMapCoGroupsInArrow" in found._jdf.queryExecution().optimizedPlan().toString()
     assert rounded(found) == rounded(plain(index, asked, 5))
+
+
+def test_texts_to_classify_by_are_written_down(spark, monkeypatch):
+    from catalith.operators import retrieval
+    from catalith.plans import stage_queries
+
+    seen, real = [], retrieval.Index
+    monkeypatch.setattr(retrieval, "Index", lambda rows, *more: seen.append(rows) or real(rows, *more))
+    stage_queries._classify(spark, SMALL)
+    assert "Aggregate" not in seen[0]._jdf.queryExecution().optimizedPlan().toString()
